@@ -6,13 +6,13 @@ partitioning nor on the order of the input. Quotas are tables of (stratum, quota
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelrec.config import SIX_STRATA_QUOTAS
-from panelrec.operators.scale import hash_segments, hash_take
+from panelrec.operators.scale import hash_segments, hash_take, quota_samples
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -81,29 +81,16 @@ def three_way_split(
     return cut.withColumn("split", names).drop("segment")
 
 
-def quota_segments(
-    df: DataFrame, strata: Sequence[str], keys: Sequence[str], quota: Column, seed: int
+def quota_then_total(
+    df: DataFrame,
+    strata: Sequence[str],
+    keys: Sequence[str],
+    quota: Column | Callable[[DataFrame], DataFrame],
+    n: int,
+    seed: int = 42,
 ) -> DataFrame:
-    """``df`` with ``picked``: 1 inside the quota of its stratum, else 0."""
-    def bounds(sizes: DataFrame) -> DataFrame:
-        return sizes.withColumn("bounds", F.array(quota.cast("bigint")))
-
-    marked = hash_segments(df, strata, keys, bounds, seed, into="_seg")
-    return marked.withColumn("picked", F.when(F.col("_seg") == 0, 1).otherwise(0)).drop("_seg")
-
-
-def top_up(marked: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows: picked rows first, the rest filled or cut in random order."""
-    def quota(sizes: DataFrame) -> DataFrame:
-        chosen = F.sum(F.when(F.col("picked") == 1, F.col("n")).otherwise(0)).over(
-            Window.partitionBy(F.lit(0))
-        )
-        return sizes.withColumn(
-            "quota",
-            F.when(F.col("picked") == 1, F.lit(n)).otherwise(F.greatest(F.lit(n) - chosen, F.lit(0))),
-        )
-
-    return hash_take(marked, ["picked"], keys, quota, seed).drop("picked")
+    """Exactly ``n`` rows: rows within their stratum's quota first, then filled or cut."""
+    return quota_samples(df, {"only": (strata, quota)}, keys, n, seed).drop("sample")
 
 
 def proportional_sample(
@@ -112,7 +99,7 @@ def proportional_sample(
     """``n`` rows in the groups' own shares, at least one per group."""
     share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
     quota = F.greatest(F.lit(1), F.bround(F.lit(n) * share, 0))
-    return top_up(quota_segments(df, [group], keys, quota, seed), keys, n, seed)
+    return quota_then_total(df, [group], keys, quota, n, seed)
 
 
 def composition_strata(name: str, n: int, n_classes: int, common: Sequence[int]) -> tuple[list[str], Column]:
@@ -156,12 +143,13 @@ COMPOSITIONS = (
 )
 
 
-def split_composition(
-    pool: DataFrame, name: str, keys: Sequence[str], n: int, n_classes: int, common: Sequence[int], seed: int = 42
+def split_compositions(
+    pool: DataFrame, names: Sequence[str], keys: Sequence[str], n: int, n_classes: int,
+    common: Sequence[int], seed: int = 42,
 ) -> DataFrame:
-    """Exactly ``n`` rows of the pool in the named composition."""
-    strata, quota = composition_strata(name, n, n_classes, common)
-    return top_up(quota_segments(pool, strata, keys, quota, seed), keys, n, seed)
+    """Exactly ``n`` rows of the pool for each named composition, in shared passes."""
+    specs = {name: composition_strata(name, n, n_classes, common) for name in names}
+    return quota_samples(pool, specs, keys, n, seed, into="composition")
 
 
 def _borrowing(sizes: DataFrame, wanted: Column, recent_share: float) -> DataFrame:
@@ -216,11 +204,13 @@ def equal_share_sample(
 
 def balanced_n(df: DataFrame, group: str, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """``n`` rows, equal per class present, filled from the rest when classes are short."""
-    classes = [r[0] for r in df.select(group).distinct().orderBy(group).limit(100_000).collect()]
-    base, extra = divmod(n, len(classes))
-    firsts = classes[:extra]
-    more = F.when(F.col(group).isin(firsts), 1).otherwise(0) if firsts else F.lit(0)
-    return top_up(quota_segments(df, [group], keys, base + more, seed), keys, n, seed)
+    def quota(sizes: DataFrame) -> DataFrame:
+        classes = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group))
+        more = F.when(place <= F.lit(n) % classes, 1).otherwise(0)
+        return sizes.withColumn("quota", F.floor(F.lit(n) / classes) + more)
+
+    return quota_then_total(df, [group], keys, quota, n, seed)
 
 
 def uniform_context(df: DataFrame, group: str, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -181,6 +181,104 @@ def hash_take(
     return taken.where(F.col("_segment") == 0).drop("_segment")
 
 
+def quota_samples(
+    df: DataFrame,
+    specs: dict[str, tuple[Sequence[str], Column | Callable[[DataFrame], DataFrame]]],
+    keys: Sequence[str],
+    n: int,
+    seed: int = 42,
+    prefix: int = 4,
+    into: str = "sample",
+) -> DataFrame:
+    """Several samples of exactly ``n`` rows each, stacked under their names.
+
+    A spec names its strata and quota. Rows within the quota of their stratum go
+    first; a longer pick is cut and a shorter one filled from the other rows, both in
+    random order. One count per hash prefix serves all specs; then one pass keeps
+    rows that are certain and one ranks the few that share a prefix with a limit.
+    """
+    hashed = df.withColumn("_h", draw_key(seed, *[F.col(k) for k in keys]))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, prefix))
+    columns = sorted({c for strata, _ in specs.values() for c in strata})
+    fine = hashed.groupBy(*columns, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
+
+    placed, entries = hashed, []
+    for i, (name, (strata, quota)) in enumerate(specs.items()):
+        cuts, first, rest = _quota_cuts(fine, list(strata), quota, n)
+        cuts = cuts.withColumnsRenamed({"_cut": f"_cut{i}", "_need": f"_need{i}"})
+        placed = join_lookup(placed, cuts, list(strata))
+        cut, b = F.col(f"_cut{i}"), F.col("_b")
+        edge = (b == cut) | (b == first[0]) | (b == rest[0])
+        keep = F.when(b < cut, b < first[0]).otherwise(b < rest[0])
+        entry = F.struct(
+            F.lit(name).alias(into),
+            F.concat_ws("|", *[F.col(c).cast("string") for c in strata]).alias("stratum"),
+            edge.alias("edge"), cut.alias("cut"), F.col(f"_need{i}").alias("need"),
+            *[F.lit(v).alias(k) for k, v in zip(("b1", "n1", "b0", "n0"), (*first, *rest))],
+        )
+        entries.append(F.when(edge | keep, entry))
+    fine.unpersist()
+
+    spread = placed.select(
+        *df.columns, "_h", "_b", F.explode(F.array_compact(F.array(*entries))).alias("_e")
+    ).select(*df.columns, "_h", "_b", "_e.*")
+    settled = spread.where(~F.col("edge"))
+    in_stratum = Window.partitionBy(into, "stratum", "_b").orderBy("_h", *keys)
+    edge = spread.where("edge").withColumn("_r", F.row_number().over(in_stratum)).withColumn(
+        "_picked",
+        (F.col("_b") < F.col("cut")) | ((F.col("_b") == F.col("cut")) & (F.col("_r") <= F.col("need"))),
+    )
+    overall = Window.partitionBy(into, "_picked", "_b").orderBy("_h", *keys)
+    limit, need = (F.when(F.col("_picked"), F.col(a)).otherwise(F.col(z)) for a, z in (("b1", "b0"), ("n1", "n0")))
+    edge = edge.withColumn("_r", F.row_number().over(overall)).where(
+        (F.col("_b") < limit) | ((F.col("_b") == limit) & (F.col("_r") <= need))
+    )
+    return settled.select(*df.columns, into).unionByName(edge.select(*df.columns, into))
+
+
+def _quota_cuts(
+    fine: DataFrame, strata: list[str], quota: Column | Callable[[DataFrame], DataFrame], n: int
+) -> tuple[DataFrame, tuple[str, int], tuple[str, int]]:
+    """Cut prefix and rest per stratum, and the cuts of picked and unpicked rows."""
+    hist = fine.groupBy(*strata, "_b").agg(F.sum("_c").alias("_c"))
+    sizes = hist.groupBy(*strata).agg(F.sum("_c").alias("n"))
+    sized = quota(sizes) if callable(quota) else sizes.withColumn("quota", quota)
+    limits = sized.select(*strata, F.least(F.greatest("quota", F.lit(0)), "n").cast("bigint").alias("_q"))
+    steps = hist.withColumn("_end", F.sum("_c").over(Window.partitionBy(*strata).orderBy("_b")))
+    both = steps.join(limits, strata)
+    cuts = (
+        both.where(F.col("_end") >= F.col("_q"))
+        .groupBy(*strata)
+        .agg(F.min(F.struct("_b", (F.col("_q") - F.col("_end") + F.col("_c")).alias("need"))).alias("_m"))
+        .select(*strata, F.col("_m._b").alias("_cut"), F.col("_m.need").alias("_need"))
+    )
+    inside = F.greatest(F.least("_c", F.col("_q") - F.col("_end") + F.col("_c")), F.lit(0))
+    by_prefix = both.groupBy("_b").agg(
+        F.sum(inside).alias("_p1"), F.sum(F.col("_c") - inside).alias("_p0")
+    )
+    # At most 16**prefix rows.
+    one = Window.partitionBy(F.lit(0))
+    ends = by_prefix.select(
+        "_b", "_p1", "_p0",
+        F.sum("_p1").over(one.orderBy("_b")).alias("_e1"), F.sum("_p0").over(one.orderBy("_b")).alias("_e0"),
+        F.sum("_p1").over(one).alias("_t1"), F.sum("_p0").over(one).alias("_t0"),
+    )
+    takes = {1: F.least(F.lit(n), "_t1"), 0: F.least(F.greatest(F.lit(n) - F.col("_t1"), F.lit(0)), F.col("_t0"))}
+    row = ends.agg(
+        *[
+            F.min(
+                F.when(
+                    (F.col(f"_e{p}") >= take) & (take > 0),
+                    F.struct("_b", (take - F.col(f"_e{p}") + F.col(f"_p{p}")).alias("need")),
+                )
+            ).alias(f"c{p}")
+            for p, take in takes.items()
+        ]
+    ).first()
+    first, rest = ((row[c]["_b"], row[c]["need"]) if row[c] else ("", 0) for c in ("c1", "c0"))
+    return cuts, first, rest
+
+
 # --------------------------------------------------------------------------
 # Prefix sums and quantiles
 # --------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Registered queries over the benchmark tables."""
 
 from panelrec.plans.registry import QUERIES, TWINS
-from panelrec.plans import cleaning, features
+from panelrec.plans import cleaning, encoding, features, sampling
 
-__all__ = ["QUERIES", "TWINS", "cleaning", "features"]
+__all__ = ["QUERIES", "TWINS", "cleaning", "encoding", "features", "sampling"]
