@@ -53,7 +53,7 @@ def argmax(values: Column) -> Column:
 
 def item_probs(probs: Column) -> Column:
     """Probabilities of classes 1..n without the hold class 0."""
-    return F.slice(probs, 2, F.size(probs) - 1)
+    return F.slice(probs, 2, F.greatest(F.size(probs) - 1, F.lit(0)))
 
 
 def ranked_classes(probs: Column) -> Column:

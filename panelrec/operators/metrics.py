@@ -327,10 +327,10 @@ def roc_auc_ovo(df: DataFrame, probs: str, label: str, n_classes: int) -> DataFr
             F.struct(F.least(c, y).alias("a"), F.greatest(c, y).alias("b"), c.alias("pos_class")),
         ),
     )
-    rows = df.select(F.col(probs).alias("probs"), y.alias("y"), F.explode(F.flatten(side)).alias("t")).select(
-        "t.a", "t.b", "t.pos_class", "y", F.get("probs", F.col("t.pos_class")).alias("s")
-    )
-    areas = roc_auc(rows, "s", F.col("y") == F.col("pos_class"), ["a", "b", "pos_class"])
+    rows = df.select(
+        F.col(probs).alias("_probs"), y.alias("_truth"), F.explode(F.flatten(side)).alias("t")
+    ).select("t.a", "t.b", "t.pos_class", "_truth", F.get("_probs", F.col("t.pos_class")).alias("s"))
+    areas = roc_auc(rows, "s", F.col("_truth") == F.col("pos_class"), ["a", "b", "pos_class"])
     return areas.agg(F.avg("auc").alias("auc_ovo"))
 
 
