@@ -112,7 +112,7 @@ def route(df: DataFrame, relevance: dict[str, Sequence[int]], spec: CascadeSpec
     """
     table = with_candidates(df, spec.top_k, "floor")
     empty = F.array().cast("array<int>")
-    skipped = F.col("p_buy") < spec.gamma_cache
+    skipped = F.coalesce(F.col("p_buy") < spec.gamma_cache, F.lit(False))
     choice = A.first_or(F.col("base_recs"), F.col("cand"))
     if spec.gate_on == "recommended":
         tested = choice
@@ -122,7 +122,7 @@ def route(df: DataFrame, relevance: dict[str, Sequence[int]], spec: CascadeSpec
     theta = F.when(tested.isin(*spec.noisy), spec.theta_noisy).otherwise(spec.theta_clean)
     table = table.withColumn("_ratio", ratio).withColumn("_held_back", F.col("_ratio") <= theta)
     table = table.withColumn("_choice", choice)
-    live = (F.col("p_buy") >= spec.gamma_live) & relevant(F.col("action"), F.col("_choice"), relevance)
+    live = F.coalesce(F.col("p_buy") >= spec.gamma_live, F.lit(False)) & relevant(F.col("action"), F.col("_choice"), relevance)
     silent_hold = skipped | F.col("_held_back")
     regime = (
         F.when(skipped, REGIMES[0]).when(F.col("_held_back"), REGIMES[1])
@@ -150,8 +150,8 @@ def cascade(
     The filter stands before the scorer by hand: the planner does not push a
     condition through Python code. Rows held back carry null probabilities.
     """
-    held_back = df.where(F.col("p_buy") < spec.gamma_cache)
-    scored = scorer(df.where(~(F.col("p_buy") < spec.gamma_cache)))
+    low = F.coalesce(F.col("p_buy") < spec.gamma_cache, F.lit(False))
+    held_back, scored = df.where(low), scorer(df.where(~low))
     empty = F.array().cast("array<double>")
     both = scored.unionByName(held_back.withColumn("probs", empty))
     return route(both, relevance, spec)

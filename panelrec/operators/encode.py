@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelrec.functions import scalars as S
 from panelrec.functions.arrays import clipped
 from panelrec.operators.scale import (
+    bounded_table,
     group_quantiles,
     join_lookup,
     ranked_table,
@@ -55,6 +56,8 @@ def apply_frequency_codes(
 ) -> DataFrame:
     """Replace each column by its code; a fixed override map replaces the fitted one."""
     overrides = overrides or {}
+    small = bounded_table(codes)
+    codes = codes if small is None else small
     unseen = {r["column"]: r["fallback"] for r in fallback_codes(codes).where(F.col("column").isin(list(columns))).collect()}
     out = df
     for name in columns:

@@ -291,10 +291,14 @@ def _score_counts(df: DataFrame, score: str, positive: Column, by: Sequence[str]
     )
 
 
-def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(
+    df: DataFrame, score: str, positive: Column, by: Sequence[str] = (), buckets: int = 256
+) -> DataFrame:
     """Exact area under the ROC curve, ties at half weight."""
     by = list(by)
-    run = running_totals(_score_counts(df, score, positive, by), "score", ["pos", "neg"], by)
+    run = running_totals(
+        _score_counts(df, score, positive, by), "score", ["pos", "neg"], by, buckets=buckets
+    )
     below = F.col("cum_neg") - F.col("neg")
     summed = run.groupBy(*by).agg(
         F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"),
@@ -330,7 +334,7 @@ def roc_auc_ovo(df: DataFrame, probs: str, label: str, n_classes: int) -> DataFr
     rows = df.select(
         F.col(probs).alias("_probs"), y.alias("_truth"), F.explode(F.flatten(side)).alias("t")
     ).select("t.a", "t.b", "t.pos_class", "_truth", F.get("_probs", F.col("t.pos_class")).alias("s"))
-    areas = roc_auc(rows, "s", F.col("_truth") == F.col("pos_class"), ["a", "b", "pos_class"])
+    areas = roc_auc(rows, "s", F.col("_truth") == F.col("pos_class"), ["a", "b", "pos_class"], buckets=64)
     return areas.agg(F.avg("auc").alias("auc_ovo"))
 
 

@@ -16,6 +16,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelrec.functions import arrays as A
 
@@ -114,9 +115,17 @@ class ClassModel:
         return self
 
 
-def plug_in_scorer(make_predict: Callable, vector: str, batch_size: int = 1024) -> Callable[[DataFrame], DataFrame]:
-    """Scorer from a foreign model: ``make_predict`` loads it once per Python worker."""
-    udf = predict_batch_udf(make_predict, return_type="array<double>", batch_size=batch_size)
+def plug_in_scorer(
+    make_predict: Callable, vector: str, width: int, batch_size: int = 1024
+) -> Callable[[DataFrame], DataFrame]:
+    """Scorer from a foreign model: ``make_predict`` loads it once per Python worker.
+
+    The model gets batches of shape (rows, ``width``) and returns (rows, classes).
+    """
+    udf = predict_batch_udf(
+        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+        input_tensor_shapes=[[width]],
+    )
 
     def score(df: DataFrame) -> DataFrame:
         return df.withColumn("probs", udf(F.col(vector)))

@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelrec.functions.scalars import draw_unit
+from panelrec.operators.scale import join_lookup, ranked_table, running_totals
+
 
 def iqm(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean of the middle half: floor(n/4) values leave at each end, nulls ignored.
 
-    Equal values are counted together, so the window sees distinct values only.
+    Equal values are counted together before their places are summed up.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    placed = counts.select(
-        "*", F.sum("_c").over(group.orderBy("_v")).alias("_end"), F.sum("_c").over(group).alias("_n")
-    )
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    placed = join_lookup(running_totals(counts, "_v", ["_c"], by, buckets=64), sizes, by, "inner")
     cut = F.floor(F.col("_n") * 0.25)
+    end = F.col("cum__c")
     kept = F.greatest(
-        F.least(F.col("_end"), F.col("_n") - cut) - F.greatest(F.col("_end") - F.col("_c"), cut), F.lit(0)
+        F.least(end, F.col("_n") - cut) - F.greatest(end - F.col("_c"), cut), F.lit(0)
     )
     summed = placed.select(*by, "_v", kept.alias("_k"))
-    mean = F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")
-    return summed.groupBy(*by).agg(mean.alias("iqm")) if by else summed.agg(mean.alias("iqm"))
+    return summed.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("iqm"))
 
 
 def pivot_fill(df: DataFrame, row: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -40,24 +41,25 @@ def pivot_fill(df: DataFrame, row: str, column: str, value: str, names: Sequence
 
 
 def iqm_bootstrap(
-    df: DataFrame, by: Sequence[str], fold: str, value: str, reps: int = 20_000, seed: int = 42
+    df: DataFrame, by: Sequence[str], fold: str, value: str, key: str, reps: int = 20_000, seed: int = 42
 ) -> DataFrame:
     """Percentile interval of the IQM over resamples of each group's scores by fold.
 
-    Every repetition draws each fold's scores with replacement; a draw picks a
-    position by hash. The input is a results table of one row per run.
+    In every repetition each row's slot draws one score of its (group, fold), with
+    replacement, by the hash of seed, repetition and row key; drawn places are
+    resolved by a join.
     """
     by = list(by)
-    lists = df.groupBy(*by, fold).agg(F.array_sort(F.collect_list(value)).alias("_xs"))
-    reps_col = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    def pick(r: Column, j: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), r, F.col(fold), j), F.size("_xs")).cast("int")
-    drawn = lists.select(*by, fold, "_xs", reps_col).select(
-        *by, "rep",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.size("_xs")), lambda j: F.get("_xs", pick(F.col("rep"), j)))
-        ).alias("_x"),
+    cell = [*by, fold]
+    known = df.where(F.col(value).isNotNull()).select(*cell, key, F.col(value).cast("double").alias("_x"))
+    placed = ranked_table(known, cell, [F.asc("_x"), F.asc(key)], "_at")
+    sizes = known.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    slots = join_lookup(known, sizes, cell, "inner").select(
+        *cell, key, "_n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
     )
+    unit = draw_unit(seed, F.col("rep"), F.col(key))
+    wanted = slots.select(*cell, "rep", F.floor(unit * F.col("_n")).cast("int").alias("_at"))
+    drawn = join_lookup(wanted, placed.select(*cell, "_at", "_x"), [*cell, "_at"], "inner")
     each = iqm(drawn, [*by, "rep"], "_x")
     return each.groupBy(*by).agg(
         F.percentile("iqm", F.lit(0.025)).alias("low"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelrec.functions.scalars import draw_key
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 100_000
 SORT_ROWS = 5_000_000
 SALTS = 64
 HOT_SHARE = 512

@@ -128,16 +128,22 @@ def scale_quantile(spark, sf):
     return rounded(E.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"))
 
 
-@query("scale_quantile_normal")
+def _normal_sql():
+    """The rational approximation of the normal quantile, in SQL."""
+    a = "(((((-3.969683028665376e01 * r + 2.209460984245205e02) * r - 2.759285104469687e02) * r + 1.383577518672690e02) * r - 3.066479806614716e01) * r + 2.506628277459239e00) * q"
+    b = "((((((-5.447609879822406e01 * r + 1.615858368580409e02) * r - 1.556989798598866e02) * r + 6.680131188771972e01) * r - 1.328068155288572e01) * r) + 1.0)"
+    c = "(((((-7.784894002430293e-03 * {t} - 3.223964580411365e-01) * {t} - 2.400758277161838e00) * {t} - 2.549732539343734e00) * {t} + 4.374664141464968e00) * {t} + 2.938163982698783e00)"
+    d = "((((7.784695709041462e-03 * {t} + 3.224671290700398e-01) * {t} + 2.445134137142996e00) * {t} + 3.754408661907416e00) * {t} + 1.0)"
+    low, high = (f"{c.format(t=t)} / {d.format(t=t)}" for t in ("sqrt(-2.0 * ln(p))", "sqrt(-2.0 * ln(1.0 - p))"))
+    return f"case when p < 0.02425 then {low} when p > 1 - 0.02425 then -({high}) else {a} / {b} end"
+
+
+@query("scale_quantile_normal", f"""select o_orderkey, round({_normal_sql()}, 6) + 0.0 as o_totalprice from (select *, p - 0.5 as q, (p - 0.5) * (p - 0.5) as r
+    from (select o_orderkey, least(greatest(u, 1e-7), 1 - 1e-7) as p from {_rank_u}))""")
 def scale_quantile_normal(spark, sf):
     return rounded(E.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "normal"))
 
 
-@query("scale_power")
-def scale_power(spark, sf):
-    return rounded(E.scale_power(V.read(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
-
-
 _yj = """case when c_acctbal >= 0 then case when abs(p) < 1e-12 then ln(1 + c_acctbal) else (pow(c_acctbal + 1.0, p) - 1.0) / p end
     else case when abs(p - 2.0) < 1e-12 then -ln(1 - c_acctbal) else -(pow(1.0 - c_acctbal, 2.0 - p) - 1.0) / (2.0 - p) end end"""
 
@@ -151,6 +157,18 @@ def fit_power(spark, sf):
     return out.select("column", F.round("power", 6).alias("power"), F.round("loglik", 2).alias("loglik"))
 
 
+_yj1 = _yj.replace("p - 2.0", "POWER - 2.0").replace("2.0 - p", "2.0 - POWER").replace("abs(p)", "abs(POWER)").replace(", p)", ", POWER)").replace("/ p ", "/ POWER ").replace("POWER", "best.p")
+
+
+@query("scale_power", f"""with g as (select cast(round(-3.0 + 0.1 * i, 10) as double) as p from range(0, 61) r(i)),
+    m as (select p, count(*) as n, var_pop({_yj}) as v, sum(sign(c_acctbal) * ln(1 + abs(c_acctbal))) as j from customer, g group by 1),
+    best as (select arg_max(p, -n / 2.0 * ln(v) + (p - 1.0) * j) as p from m where v > 0),
+    t as (select c_custkey, {_yj1} as x from customer, best)
+    select c_custkey, round((x - (select avg(x) from t)) / (select stddev_pop(x) from t), 6) + 0.0 as c_acctbal from t""")
+def scale_power(spark, sf):
+    return rounded(E.scale_power(V.read(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]))
+
+
 _gap = "select c_custkey, case when c_acctbal >= 0 then c_acctbal end as bal, case when c_nationkey > 4 then c_nationkey end as nation, c_custkey as full_key from customer"
 
 

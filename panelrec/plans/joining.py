@@ -168,9 +168,20 @@ def pivot_fill(spark, sf):
     return rounded(R.pivot_fill(t, "suite_fold", "name", "metric", _brands))
 
 
-@query("iqm_bootstrap")
+REPS = 200
+
+
+@query("iqm_bootstrap", with_views("results", f"""
+    , keyed as materialized (select *, suite || '/' || name || '/' || fold as k, row_number() over (partition by suite, fold order by metric, suite || '/' || name || '/' || fold) - 1 as slot,
+      count(*) over (partition by suite, fold) as n from results where metric is not null),
+    slots as (select suite, fold, rep, cast(floor(('0x' || md5('42|' || rep || '|' || k)[1:13])::bigint / 4503599627370496.0 * n) as bigint) as slot from keyed, range(1, {REPS + 1}) r(rep)),
+    drawn as (select s.suite, s.rep, k.metric from slots s join keyed k using (suite, fold, slot)),
+    each_rep as (select suite, rep, avg(metric) as iqm from (select *, row_number() over (partition by suite, rep order by metric) - 1 as i, count(*) over (partition by suite, rep) as n from drawn)
+      where i >= floor(n * 0.25) and i < n - floor(n * 0.25) group by 1, 2)
+    select suite, round(quantile_cont(iqm, 0.025), 6) as low, round(quantile_cont(iqm, 0.975), 6) as high, round(avg(iqm), 6) as mean from each_rep group by 1""").replace(")\n\n    , keyed", "),\n keyed", 1))
 def iqm_bootstrap(spark, sf):
-    return rounded(R.iqm_bootstrap(V.results(spark, sf), ["suite"], "fold", "metric", reps=200))
+    t = V.results(spark, sf).withColumn("k", F.concat_ws("/", "suite", "name", F.col("fold").cast("string")))
+    return rounded(R.iqm_bootstrap(t, ["suite"], "fold", "metric", "k", reps=REPS))
 
 
 @query("metrics_report", "select *, map7 = max(map7) over () as best_map7, buyer_top1 = max(buyer_top1) over () as best_buyer_top1, alert_pct = min(alert_pct) over () as best_alert_pct from ("
