@@ -136,11 +136,6 @@ def entropy_share(probs: Column, n_items: int) -> Column:
     )
 
 
-def top_two(probs: Column) -> Column:
-    """Item probabilities sorted descending; take [0] and [1]."""
-    return F.sort_array(item_probs(probs), asc=False)
-
-
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 

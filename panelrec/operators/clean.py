@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from panelrec import config as C
 from panelrec.functions import scalars as S
-from panelrec.operators.scale import bounded_table, group_quantiles, join_lookup, newest
+from panelrec.operators.scale import (
+    bounded_table,
+    group_quantiles,
+    join_lookup,
+    medians_and_overall,
+    newest,
+)
 
 
 def clean_tokens(df: DataFrame, tokens: Sequence[str] = C.NULL_TOKENS) -> DataFrame:
@@ -34,11 +40,13 @@ def group_medians(df: DataFrame, group: str, value: str, mode: str = "exact") ->
 
 def impute_by_group(df: DataFrame, value: str, group: str, medians: DataFrame | None = None) -> DataFrame:
     """Fill ``value`` with its group's median, else with the overall median."""
-    medians = group_medians(df, group, value) if medians is None else medians
-    overall = group_quantiles(df, [], value, {"m": 0.5}).first()
+    if medians is None:
+        medians, overall = medians_and_overall(df, group, value)
+    else:
+        overall = group_quantiles(df, [], value, {"m": 0.5}).first()[0]
     filled = join_lookup(df, medians.withColumnRenamed("median", "_median"), [group])
     best = F.coalesce(
-        F.col(value).cast("double"), F.col("_median"), F.lit(overall[0] if overall else None).cast("double")
+        F.col(value).cast("double"), F.col("_median"), F.lit(overall).cast("double")
     )
     return filled.select(*[best.alias(c) if c == value else F.col(c) for c in df.columns])
 

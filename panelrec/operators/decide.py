@@ -17,20 +17,26 @@ from panelrec.functions import scalars as S
 
 
 def with_candidates(df: DataFrame, top_k: int = 7, eps_mode: str = "add") -> DataFrame:
-    """Add candidate class, its probability, the runner-up, odds and unheld top-k."""
-    two = A.top_two(F.col("probs"))
-    base = df.select("*", A.ranked_classes(F.col("probs")).alias("ranked"), two.alias("_two"))
+    """Add candidate class, its probability, the runner-up, odds and unheld top-k.
+
+    Depends on ``probs`` and ``held`` only, so it can run per entity before a join
+    spreads them over events.
+    """
+    base = df.select("*", A.ranked_classes(F.col("probs")).alias("ranked"))
     base = base.select(
         "*",
         F.get("ranked", F.lit(0)).alias("cand"),
         F.get("probs", F.lit(0)).alias("p0"),
-        F.get("_two", F.lit(0)).alias("p_top"),
-        F.get("_two", F.lit(1)).alias("p_second"),
+        F.get("probs", F.get("ranked", F.lit(0))).alias("p_top"),
+        F.get("probs", F.get("ranked", F.lit(1))).alias("p_second"),
         A.unheld_topk(F.col("ranked"), F.col("held"), top_k).alias("base_recs"),
-    ).drop("_two")
+    )
     return base.withColumn("odds", S.odds(F.col("p_top"), F.col("p0"), eps_mode))
 
 
+CANDIDATE_COLUMNS = ("ranked", "cand", "p0", "p_top", "p_second", "base_recs", "odds")
+
+
 # --------------------------------------------------------------------- gates
 
 def gate_propensity(gamma: float) -> Column:
@@ -110,7 +116,9 @@ def route(df: DataFrame, relevance: dict[str, Sequence[int]], spec: CascadeSpec
     The gate is tested on the best class even when it is held (``gate_on`` =
     'candidate'), or on the class that is recommended ('recommended').
     """
-    table = with_candidates(df, spec.top_k, "floor")
+    known = set(CANDIDATE_COLUMNS) <= set(df.columns)
+    table = df if known else with_candidates(df, spec.top_k)
+    table = table.withColumn("odds", S.odds(F.col("p_top"), F.col("p0"), "floor"))
     empty = F.array().cast("array<int>")
     skipped = F.coalesce(F.col("p_buy") < spec.gamma_cache, F.lit(False))
     choice = A.first_or(F.col("base_recs"), F.col("cand"))
@@ -129,7 +137,7 @@ def route(df: DataFrame, relevance: dict[str, Sequence[int]], spec: CascadeSpec
         .when(live, REGIMES[3]).otherwise(REGIMES[2])
     )
     return table.select(
-        *[c for c in df.columns if c not in ("probs",)],
+        *[c for c in df.columns if c not in ("probs", *CANDIDATE_COLUMNS)],
         F.when(silent_hold, 0).otherwise(F.col("_choice")).alias("prediction"),
         F.when(skipped, empty).otherwise(F.col("base_recs")).alias("recs"),
         (~silent_hold & live).alias("is_active"),

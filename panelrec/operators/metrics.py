@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelrec.functions import arrays as A
 from panelrec.functions import ranking as R
-from panelrec.operators.scale import group_quantiles, running_totals
+from panelrec.operators.scale import group_quantiles, join_lookup, running_totals
 
 
 def or_zero(value: Column) -> Column:
@@ -376,7 +376,7 @@ def latency_summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     cuts = group_quantiles(df, by, value, levels)
     means = df.groupBy(*by).agg(F.avg(value).alias("mean"))
     if by:
-        return means.join(cuts, by)
+        return join_lookup(means, cuts, by, "inner")
     row = cuts.first()
     points = {name: (row[name] if row and row[name] is not None else 0.0) for name in levels}
     return means.select(

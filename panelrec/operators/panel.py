@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelrec.config import PanelSpec
 from panelrec.functions import scalars as S
 from panelrec.functions.arrays import first_or
-from panelrec.operators.clean import group_medians, latest_snapshot
+from panelrec.operators.clean import group_medians
 from panelrec.operators.scale import join_lookup
 
 
@@ -17,7 +17,7 @@ def _as_int(name: str) -> Column:
 
 
 def with_lags(df: DataFrame, spec: PanelSpec, max_gap_months: int | None = None) -> DataFrame:
-    """Add previous holdings, second-previous holdings, activity lags and ``prev_snapshot``.
+    """Add previous and second-previous holdings, activity lags and neighbouring dates.
 
     All lags share one window, hence one exchange and one sort. A lag is the
     previous row; with ``max_gap_months`` an older previous row counts as absent.
@@ -38,7 +38,10 @@ def with_lags(df: DataFrame, spec: PanelSpec, max_gap_months: int | None = None)
     lags += [lagged(i, 2).alias(f"has_{i}_lag2") for i in spec.lag2]
     if spec.activity:
         lags += [lagged(spec.activity, s).alias(f"{spec.activity}_lag{s}") for s in (1, 2)]
-    return df.select("*", *lags, previous.alias("prev_snapshot"))
+    following = F.lead(spec.time, 1).over(window)
+    return df.select(
+        "*", *lags, previous.alias("prev_snapshot"), following.alias("next_snapshot")
+    )
 
 
 def acquired(item: str) -> Column:
@@ -110,6 +113,7 @@ def panel_features(
     require_history: bool = True,
     max_gap_months: int | None = None,
     medians: DataFrame | None = None,
+    newest_only: bool = False,
 ) -> DataFrame:
     """All features and the ``target_class`` label of a clean panel.
 
@@ -129,10 +133,12 @@ def panel_features(
     }
     if spec.activity:
         features["activity_delta"] = _as_int(f"{spec.activity}_lag1") - _as_int(f"{spec.activity}_lag2")
-    removed = {*spec.items, *spec.drop, "_median", "prev_snapshot"}
+    removed = {*spec.items, *spec.drop, "_median", "prev_snapshot", "next_snapshot"}
     kept = [c for c in table.columns if c not in removed]
     if require_history:
         table = table.where(F.col("prev_snapshot").isNotNull())
+    if newest_only:
+        table = table.where(F.col("next_snapshot").isNull())
     label = added_classes(spec)
     if explode:
         label = F.explode(F.when(F.size(label) == 0, F.array(F.lit(0))).otherwise(label))
@@ -163,8 +169,11 @@ def holdout_targets(holdout: DataFrame, previous: DataFrame, spec: PanelSpec) ->
 
 
 def serving_features(df: DataFrame, spec: PanelSpec, medians: DataFrame | None = None) -> DataFrame:
-    """Feature row of every entity's newest snapshot, from the batch code path."""
-    features = panel_features(
-        df, spec, explode=False, require_history=False, medians=medians
+    """Feature row of every entity's newest snapshot, from the batch code path.
+
+    The newest row is the one without a successor in the lag window, so it costs no
+    further shuffle.
+    """
+    return panel_features(
+        df, spec, explode=False, require_history=False, medians=medians, newest_only=True
     )
-    return latest_snapshot(features, spec.entity, spec.time, unique=True)

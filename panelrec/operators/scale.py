@@ -201,82 +201,91 @@ def quota_samples(
     hashed = hashed.withColumn("_b", F.substring("_h", 1, prefix))
     columns = sorted({c for strata, _ in specs.values() for c in strata})
     fine = hashed.groupBy(*columns, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
-
-    placed, entries = hashed, []
-    for i, (name, (strata, quota)) in enumerate(specs.items()):
-        cuts, first, rest = _quota_cuts(fine, list(strata), quota, n)
-        cuts = cuts.withColumnsRenamed({"_cut": f"_cut{i}", "_need": f"_need{i}"})
-        placed = join_lookup(placed, cuts, list(strata))
-        cut, b = F.col(f"_cut{i}"), F.col("_b")
-        edge = (b == cut) | (b == first[0]) | (b == rest[0])
-        keep = F.when(b < cut, b < first[0]).otherwise(b < rest[0])
-        entry = F.struct(
-            F.lit(name).alias(into),
-            F.concat_ws("|", *[F.col(c).cast("string") for c in strata]).alias("stratum"),
-            edge.alias("edge"), cut.alias("cut"), F.col(f"_need{i}").alias("need"),
-            *[F.lit(v).alias(k) for k, v in zip(("b1", "n1", "b0", "n0"), (*first, *rest))],
-        )
-        entries.append(F.when(edge | keep, entry))
+    cuts, totals = _quota_cuts(fine, specs, n)
+    limits = F.lit(None)
+    for row in totals:
+        here = F.struct(*[F.lit(row[k]).alias(k) for k in ("b1", "n1", "b0", "n0")])
+        limits = F.when(F.col(into) == row["_spec"], here).otherwise(limits)
+
+    asked = F.array(*[
+        F.struct(F.lit(name).alias(into), _label(strata).alias("_stratum"))
+        for name, (strata, _) in specs.items()
+    ])
+    spread = hashed.select(*df.columns, "_h", "_b", F.explode(asked).alias("_a")).select(
+        *df.columns, "_h", "_b", "_a.*"
+    )
+    placed = join_lookup(spread, cuts.withColumnRenamed("_spec", into), [into, "_stratum"], "inner")
     fine.unpersist()
-
-    spread = placed.select(
-        *df.columns, "_h", "_b", F.explode(F.array_compact(F.array(*entries))).alias("_e")
-    ).select(*df.columns, "_h", "_b", "_e.*")
-    settled = spread.where(~F.col("edge"))
-    in_stratum = Window.partitionBy(into, "stratum", "_b").orderBy("_h", *keys)
-    edge = spread.where("edge").withColumn("_r", F.row_number().over(in_stratum)).withColumn(
-        "_picked",
-        (F.col("_b") < F.col("cut")) | ((F.col("_b") == F.col("cut")) & (F.col("_r") <= F.col("need"))),
+    placed = placed.select("*", limits.alias("_l")).select("*", "_l.*").drop("_l")
+    b, cut = F.col("_b"), F.col("_cut")
+    edge = (b == cut) | (b == F.col("b1")) | (b == F.col("b0"))
+    keep = F.when(b < cut, b < F.col("b1")).otherwise(b < F.col("b0"))
+
+    settled = placed.where(~edge & keep)
+    in_stratum = Window.partitionBy(into, "_stratum", "_b").orderBy("_h", *keys)
+    ranked = placed.where(edge).withColumn("_r", F.row_number().over(in_stratum)).withColumn(
+        "_picked", (b < cut) | ((b == cut) & (F.col("_r") <= F.col("_need")))
     )
     overall = Window.partitionBy(into, "_picked", "_b").orderBy("_h", *keys)
-    limit, need = (F.when(F.col("_picked"), F.col(a)).otherwise(F.col(z)) for a, z in (("b1", "b0"), ("n1", "n0")))
-    edge = edge.withColumn("_r", F.row_number().over(overall)).where(
-        (F.col("_b") < limit) | ((F.col("_b") == limit) & (F.col("_r") <= need))
+    last = F.when(F.col("_picked"), F.col("b1")).otherwise(F.col("b0"))
+    need = F.when(F.col("_picked"), F.col("n1")).otherwise(F.col("n0"))
+    ranked = ranked.withColumn("_r", F.row_number().over(overall)).where(
+        (b < last) | ((b == last) & (F.col("_r") <= need))
     )
-    return settled.select(*df.columns, into).unionByName(edge.select(*df.columns, into))
+    return settled.select(*df.columns, into).unionByName(ranked.select(*df.columns, into))
+
+
+def _label(strata: Sequence[str]) -> Column:
+    """One text per stratum; null and text stay apart."""
+    return F.to_json(F.struct(*[F.col(c) for c in strata])) if strata else F.lit("{}")
 
 
 def _quota_cuts(
-    fine: DataFrame, strata: list[str], quota: Column | Callable[[DataFrame], DataFrame], n: int
-) -> tuple[DataFrame, tuple[str, int], tuple[str, int]]:
-    """Cut prefix and rest per stratum, and the cuts of picked and unpicked rows."""
-    hist = fine.groupBy(*strata, "_b").agg(F.sum("_c").alias("_c"))
-    sizes = hist.groupBy(*strata).agg(F.sum("_c").alias("n"))
-    sized = quota(sizes) if callable(quota) else sizes.withColumn("quota", quota)
-    limits = sized.select(*strata, F.least(F.greatest("quota", F.lit(0)), "n").cast("bigint").alias("_q"))
-    steps = hist.withColumn("_end", F.sum("_c").over(Window.partitionBy(*strata).orderBy("_b")))
-    both = steps.join(limits, strata)
+    fine: DataFrame, specs: dict[str, tuple[Sequence[str], Column | Callable[[DataFrame], DataFrame]]], n: int
+) -> tuple[DataFrame, list]:
+    """Cut prefix and rest per (spec, stratum), and per spec the cuts of picked and unpicked rows."""
+    hists, quotas = [], []
+    for name, (strata, quota) in specs.items():
+        strata = list(strata)
+        sizes = fine.groupBy(*strata).agg(F.sum("_c").alias("n"))
+        sized = quota(sizes) if callable(quota) else sizes.withColumn("quota", quota)
+        clamped = F.least(F.greatest("quota", F.lit(0)), "n").cast("bigint").alias("_q")
+        quotas.append(sized.select(F.lit(name).alias("_spec"), _label(strata).alias("_stratum"), clamped))
+        hists.append(fine.select(F.lit(name).alias("_spec"), _label(strata).alias("_stratum"), "_b", "_c"))
+    keyed = ["_spec", "_stratum"]
+    hist = reduce(DataFrame.unionByName, hists).groupBy(*keyed, "_b").agg(F.sum("_c").alias("_c"))
+    steps = hist.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keyed).orderBy("_b")))
+    both = steps.join(reduce(DataFrame.unionByName, quotas), keyed)
+    rest = F.col("_q") - F.col("_end") + F.col("_c")
     cuts = (
         both.where(F.col("_end") >= F.col("_q"))
-        .groupBy(*strata)
-        .agg(F.min(F.struct("_b", (F.col("_q") - F.col("_end") + F.col("_c")).alias("need"))).alias("_m"))
-        .select(*strata, F.col("_m._b").alias("_cut"), F.col("_m.need").alias("_need"))
+        .groupBy(*keyed)
+        .agg(F.min(F.struct("_b", rest.alias("need"))).alias("_m"))
+        .select(*keyed, F.col("_m._b").alias("_cut"), F.col("_m.need").alias("_need"))
     )
-    inside = F.greatest(F.least("_c", F.col("_q") - F.col("_end") + F.col("_c")), F.lit(0))
-    by_prefix = both.groupBy("_b").agg(
+    inside = F.greatest(F.least(F.col("_c"), rest), F.lit(0))
+    by_prefix = both.groupBy("_spec", "_b").agg(
         F.sum(inside).alias("_p1"), F.sum(F.col("_c") - inside).alias("_p0")
     )
-    # At most 16**prefix rows.
-    one = Window.partitionBy(F.lit(0))
+    # At most 16**prefix rows per spec.
+    whole = Window.partitionBy("_spec")
     ends = by_prefix.select(
-        "_b", "_p1", "_p0",
-        F.sum("_p1").over(one.orderBy("_b")).alias("_e1"), F.sum("_p0").over(one.orderBy("_b")).alias("_e0"),
-        F.sum("_p1").over(one).alias("_t1"), F.sum("_p0").over(one).alias("_t0"),
+        "*", *[F.sum(f"_p{p}").over(whole.orderBy("_b")).alias(f"_e{p}") for p in (1, 0)],
+        *[F.sum(f"_p{p}").over(whole).alias(f"_t{p}") for p in (1, 0)],
     )
     takes = {1: F.least(F.lit(n), "_t1"), 0: F.least(F.greatest(F.lit(n) - F.col("_t1"), F.lit(0)), F.col("_t0"))}
-    row = ends.agg(
-        *[
-            F.min(
-                F.when(
-                    (F.col(f"_e{p}") >= take) & (take > 0),
-                    F.struct("_b", (take - F.col(f"_e{p}") + F.col(f"_p{p}")).alias("need")),
-                )
-            ).alias(f"c{p}")
-            for p, take in takes.items()
-        ]
-    ).first()
-    first, rest = ((row[c]["_b"], row[c]["need"]) if row[c] else ("", 0) for c in ("c1", "c0"))
-    return cuts, first, rest
+
+    def cut(p: int) -> Column:
+        reached = (F.col(f"_e{p}") >= takes[p]) & (takes[p] > 0)
+        return F.min(F.when(reached, F.struct("_b", (takes[p] - F.col(f"_e{p}") + F.col(f"_p{p}")).alias("need"))))
+
+    found = ends.groupBy("_spec").agg(cut(1).alias("c1"), cut(0).alias("c0"))
+    totals = found.select(
+        "_spec",
+        *[F.coalesce(F.col(f"c{p}._b"), F.lit("")).alias(f"b{p}") for p in (1, 0)],
+        *[F.coalesce(F.col(f"c{p}.need"), F.lit(0)).alias(f"n{p}") for p in (1, 0)],
+    )
+    return cuts, totals.collect()
 
 
 # --------------------------------------------------------------------------
@@ -337,14 +346,33 @@ def group_quantiles(
     """
     by = list(by)
     base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    largest = (
-        base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if _largest(base, by) > sort_rows:
+        return _bracketed_quantiles(base, by, levels, accuracy)
+    points = F.percentile("_v", F.array(*[F.lit(p) for p in levels.values()]))
+    return base.groupBy(*by).agg(points.alias("_p")).select(
+        *by, *[F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(levels)]
     )
-    if (largest or 0) <= sort_rows:
-        return base.groupBy(*by).agg(
-            *[F.percentile("_v", F.lit(p)).alias(name) for name, p in levels.items()]
-        )
-    return _bracketed_quantiles(base, by, levels, accuracy)
+
+
+def medians_and_overall(
+    df: DataFrame, by: str, value: str, sort_rows: int = SORT_ROWS
+) -> tuple[DataFrame, float | None]:
+    """(group, median) table and the overall median, in one pass when sizes allow."""
+    base = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    if _largest(base, []) > sort_rows:
+        overall = group_quantiles(base, [], "_v", {"m": 0.5}, sort_rows=sort_rows).first()
+        return group_quantiles(base, [by], "_v", {"median": 0.5}, sort_rows=sort_rows), overall[0]
+    both = base.rollup(by).agg(F.percentile("_v", F.lit(0.5)).alias("median"), F.grouping(by).alias("_all"))
+    table = bounded_table(both)
+    if table is None:
+        return both.where("_all = 0").drop("_all"), both.where("_all = 1").first()["median"]
+    overall = table.where("_all = 1").first()
+    return table.where("_all = 0").drop("_all"), overall["median"] if overall else None
+
+
+def _largest(base: DataFrame, by: list[str]) -> int:
+    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
 
 
 def _bracketed_quantiles(

@@ -8,6 +8,7 @@ from panelrec.operators import clean as K
 from panelrec.plans import views as V
 from panelrec.plans.registry import query, rounded
 from panelrec.plans.views import CM_ITEMS, ITEMS, r6, with_views
+from panelrec.session import staged
 from panelrec.sources import tables as T
 
 DAY_CUT = "2024-01-20"
@@ -113,7 +114,7 @@ def impute_group_median(spark, sf):
     t = K.clean_tokens(V.raw_cm(spark, sf)).select(
         "c_custkey", "m", "province", S.safe_double(F.col("income")).alias("income")
     )
-    return rounded(K.impute_by_group(t, "income", "province"))
+    return rounded(K.impute_by_group(staged(t), "income", "province"))
 
 
 @query("temporal_split", with_views("panel_ud", f"""select case when d < date '{DAY_CUT}' then 'train' else 'holdout' end as part,

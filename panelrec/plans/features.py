@@ -12,6 +12,7 @@ from panelrec.operators.scale import join_lookup
 from panelrec.plans import views as V
 from panelrec.plans.registry import query, rounded
 from panelrec.plans.views import CM_ITEMS, CM_SPEC, ITEMS, UD_SPEC, r6, with_views
+from panelrec.session import staged
 
 KEY = "user_id, cast(d as varchar) as d"
 
@@ -132,7 +133,8 @@ _money_sql = """, round(ln(1 + income_pos), 6) as log_income,
     from labels_cm left join medians_cm on labels_cm.province = medians_cm.province
     qualify m = max(m) over (partition by c_custkey)"""))
 def serving_features(spark, sf):
-    return _plain_ints(rounded(P.serving_features(V.panel_cm(spark, sf), CM_SPEC)))
+    panel = staged(V.panel_cm(spark, sf))
+    return _plain_ints(rounded(P.serving_features(panel, CM_SPEC)))
 
 
 @query("portfolio_totals", with_views("lags_ud", f"""select {KEY}, {' + '.join(f'has_{i}_lag1' for i in ITEMS)} as total_products_lag1,
@@ -164,7 +166,7 @@ def log_amount(spark, sf):
     round(case when med > 0 then income_pos / med else 1.0 end, 6) as ratio
     from panel_cm left join medians_cm on panel_cm.province = medians_cm.province"""))
 def ratio_to_group_median(spark, sf):
-    panel = V.panel_cm(spark, sf)
+    panel = staged(V.panel_cm(spark, sf).select("c_custkey", "m", "province", "income_pos"))
     t = join_lookup(panel, group_medians(panel, "province", "income_pos"), ["province"])
     return rounded(t.select("c_custkey", "m", S.ratio_or_one(F.col("income_pos"), F.col("median")).alias("ratio")))
 

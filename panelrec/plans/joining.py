@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from panelrec.operators import decide as D
 from panelrec.operators import metrics as M
 from panelrec.operators import reports as R
-from panelrec.operators.clean import group_medians
 from panelrec.operators.knn import knn_class_probs as vote
 from panelrec.operators.knn import nearest
 from panelrec.operators.scale import join_lookup
@@ -14,6 +13,7 @@ from panelrec.plans import views as V
 from panelrec.plans.gating import T1, grid_sql, sweep_sql
 from panelrec.plans.registry import query, rounded
 from panelrec.plans.views import r6, with_views
+from panelrec.session import staged
 
 K = 10
 
@@ -118,17 +118,16 @@ def distinct_ids(spark, sf):
 
 @query("group_median", with_views("panel_cm", f"select province, {r6('median(income_pos)')} as median, {r6('(select median(income_pos) from panel_cm)')} as overall from panel_cm group by 1"))
 def group_median(spark, sf):
-    from panelrec.operators.scale import group_quantiles
+    from panelrec.operators.scale import medians_and_overall
 
-    panel = V.panel_cm(spark, sf)
-    overall = group_quantiles(panel, [], "income_pos", {"m": 0.5}).first()[0]
-    return rounded(group_medians(panel, "province", "income_pos").withColumn("overall", F.lit(overall)))
+    medians, overall = medians_and_overall(staged(V.panel_cm(spark, sf).select("province", "income_pos")), "province", "income_pos")
+    return rounded(medians.withColumn("overall", F.lit(overall)))
 
 
 @query("latency_percentiles", with_views("decisions", """select regime, round(avg(latency_ms), 6) as mean, round(quantile_cont(latency_ms, 0.5), 6) as p50,
     round(quantile_cont(latency_ms, 0.95), 6) as p95, round(quantile_cont(latency_ms, 0.99), 6) as p99 from decisions group by 1"""))
 def latency_percentiles(spark, sf):
-    return rounded(M.latency_summary(V.decisions(spark, sf), "latency_ms", ["regime"]))
+    return rounded(M.latency_summary(staged(V.decisions(spark, sf).select("regime", "latency_ms")), "latency_ms", ["regime"]))
 
 
 def _mix(df, by):

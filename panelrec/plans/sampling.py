@@ -7,6 +7,7 @@ from panelrec.operators.encode import column_subsample as pick_columns
 from panelrec.plans import views as V
 from panelrec.plans.registry import query
 from panelrec.plans.views import ITEMS, with_views
+from panelrec.session import staged
 
 N_CLASSES = 6
 COMMON = (1, 2)
@@ -23,7 +24,8 @@ RANK = f"order by {hash_sql('rid')}, rid"
 
 
 def _pool(spark, sf):
-    return V.pool_ud(spark, sf)
+    """The pool as a staged table: samplers pass over it several times."""
+    return staged(V.pool_ud(spark, sf))
 
 
 def topped(strata: str, quota: str, n: int, source: str = "pool_ud") -> str:
@@ -52,7 +54,7 @@ def six_strata_sample(spark, sf):
     t = with_lags(V.panel_cm(spark, sf), V.CM_SPEC).select(
         F.concat_ws("|", F.col("c_custkey").cast("string"), F.col("m").cast("string")).alias("rid"), "m",
         first_or(added_classes(V.CM_SPEC), F.lit(0)).alias("cls"), F.col("p5_lag1").alias("active"))
-    return M.six_strata_sample(t, "cls", "active", "m", ["rid"], quotas=QUOTAS).select("rid", "cls", "stratum")
+    return M.six_strata_sample(staged(t), "cls", "active", "m", ["rid"], quotas=QUOTAS).select("rid", "cls", "stratum")
 
 
 @query("stratified_split", with_views("pool_ud", f"""select rid, cls, case when row_number() over (partition by cls {RANK})

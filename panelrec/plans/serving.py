@@ -7,10 +7,10 @@ from panelrec.functions import scalars as S
 from panelrec.operators import encode as E
 from panelrec.operators import panel as P
 from panelrec.operators import store as T
-from panelrec.operators.clean import latest_snapshot
 from panelrec.plans import views as V
 from panelrec.plans.registry import query, rounded
 from panelrec.plans.views import CM_ITEMS, ITEMS, r6, with_views
+from panelrec.session import staged
 from panelrec.streaming.jobs import telemetry_columns
 
 _row = f"user_id, {r6('list_sum(vector)')} as total, array_to_string(held, ',') as held, cast(updated_at as varchar) as updated_at"
@@ -80,8 +80,9 @@ _cell_union = " union all ".join(f"select cast({c} as double) as x from lags_cm
 def materialize_features(spark, sf):
     """Scaled, clipped, padded vectors of every customer's newest month in one job."""
     t = P.with_lags(V.panel_cm(spark, sf), V.CM_SPEC)
+    t = staged(t.select("c_custkey", "m", *_cells, "prev_snapshot", "next_snapshot"))
     stats = E.global_stats(t.where(F.col("prev_snapshot").isNotNull()), _cells).first()
-    newest = latest_snapshot(t.select("c_custkey", "m", *_cells), "c_custkey", "m", unique=True)
+    newest = t.where(F.col("next_snapshot").isNull()).select("c_custkey", "m", *_cells)
     z = E.apply_zscore(newest, _cells, stats["mean"], stats["std"], clip=10.0)
     v = A.pad(A.assemble([F.col(c) for c in _cells]), 128, strict=True)
     return z.select("c_custkey", F.col("m").cast("string").alias("m"), F.round(A.total(v), 5).alias("total"))

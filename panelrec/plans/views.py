@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelrec.config import PanelSpec
@@ -80,13 +80,15 @@ def panel_cm(spark: SparkSession, sf: str) -> DataFrame:
     monthly = read(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("c_custkey"), F.trunc("o_orderdate", "MM").alias("m")
     ).agg(*flags, F.sum("o_totalprice").alias("total"), F.min(F.to_date("o_orderdate")).alias("first_day"))
-    joined = monthly.groupBy("c_custkey").agg(F.min("first_day").alias("join_date"))
+    # A customer has at most one row per month, so this window stays small per key.
+    first = F.min("first_day").over(Window.partitionBy("c_custkey"))
+    monthly = monthly.withColumn("join_date", first)
     facts = read(spark, sf, "customer").select(
         "c_custkey", F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("province"),
         F.col("c_acctbal").alias("income"),
     )
     return (
-        monthly.join(facts, "c_custkey").join(joined, "c_custkey")
+        monthly.join(facts, "c_custkey")
         .select("c_custkey", "m", *CM_ITEMS, "total", "seg", "province", "income", "join_date",
                 F.greatest("income", F.lit(0.0)).alias("income_pos"))
     )
@@ -145,22 +147,26 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with the score row of their user."""
+def actions(spark: SparkSession, sf: str, ranked: bool = False) -> DataFrame:
+    """Events with the score row of their user, optionally with its candidates."""
+    from panelrec.operators.decide import CANDIDATE_COLUMNS, with_candidates
     from panelrec.operators.scale import join_lookup
 
     ev = read(spark, sf, "events").select(
         "event_id", "ts", F.col("user_id").alias("row_id"), F.col("event_type").alias("action"),
         F.col("value").alias("latency_ms"),
     )
-    facts = scores(spark, sf).select("row_id", "y", "actual", "probs", "p_buy", "held", "is_cold")
+    facts = with_candidates(scores(spark, sf)) if ranked else scores(spark, sf)
+    kept = ["row_id", "y", "actual", "probs", "p_buy", "held", "is_cold"]
+    facts = facts.select(*kept, *(CANDIDATE_COLUMNS if ranked else ()))
     return join_lookup(ev, facts, ["row_id"], "inner").withColumnRenamed("row_id", "user_id")
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event routed; ranking happens per user, before events join."""
     from panelrec.operators.decide import route
 
-    return route(actions(spark, sf), RELEVANCE)
+    return route(actions(spark, sf, ranked=True), RELEVANCE)
 
 
 # -------------------------------------------------------------- feature store

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelrec", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,6 +27,17 @@ def build_session(app: str = "panelrec", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several passes read, and read it back.
+
+    The table goes to the shared checkpoint folder as Parquet, so later passes prune
+    columns, know its size, and start from it when an executor is lost.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints and cut lineage, taken from ``spark.checkpoint.dir``.
 
