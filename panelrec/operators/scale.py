@@ -96,13 +96,25 @@ def _salted_join(
 # Exact cuts of a random order
 # --------------------------------------------------------------------------
 
+def prefix_length(df: DataFrame, rows_per_prefix: int = 20_000) -> int:
+    """Hash digits that leave about ``rows_per_prefix`` rows per prefix, between 1 and 5.
+
+    More digits mean fewer rows to rank around a limit and a longer count table; both
+    stay small at any size.
+    """
+    n, digits = df.count(), 1
+    while digits < 5 and n > rows_per_prefix * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_segments(
     df: DataFrame,
     strata: Sequence[str],
     keys: Sequence[str],
     bounds: Callable[[DataFrame], DataFrame],
     seed: int = 42,
-    prefix: int = 4,
+    prefix: int | None = None,
     into: str = "segment",
 ) -> DataFrame:
     """Number each row by the rank interval it falls in within its stratum.
@@ -111,8 +123,10 @@ def hash_segments(
     table (strata, n) and adds an array column ``bounds`` of rank limits; a row's
     segment is the number of limits below its rank. Instead of sorting strata, one
     pass counts rows per hash prefix, which fixes the prefix every limit falls in,
-    and only rows sharing such a prefix (1/16**prefix of a stratum) are ranked.
+    and only rows sharing such a prefix (1/16**prefix of a stratum) are ranked. ``df``
+    is read about three times, so pass a stored table rather than a long plan.
     """
+    prefix = prefix or prefix_length(df)
     strata = list(strata) or ["_all"]
     base = df if strata != ["_all"] else df.withColumn("_all", F.lit(0))
     hashed = base.withColumn("_h", draw_key(seed, *[F.col(k) for k in keys]))
@@ -187,7 +201,7 @@ def quota_samples(
     keys: Sequence[str],
     n: int,
     seed: int = 42,
-    prefix: int = 4,
+    prefix: int | None = None,
     into: str = "sample",
 ) -> DataFrame:
     """Several samples of exactly ``n`` rows each, stacked under their names.
@@ -197,11 +211,12 @@ def quota_samples(
     random order. One count per hash prefix serves all specs; then one pass keeps
     rows that are certain and one ranks the few that share a prefix with a limit.
     """
+    prefix = prefix or prefix_length(df)
     hashed = df.withColumn("_h", draw_key(seed, *[F.col(k) for k in keys]))
     hashed = hashed.withColumn("_b", F.substring("_h", 1, prefix))
     columns = sorted({c for strata, _ in specs.values() for c in strata})
-    fine = hashed.groupBy(*columns, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
-    cuts, totals = _quota_cuts(fine, specs, n)
+    fine = hashed.groupBy(*columns, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    cuts, totals = _quota_cuts(fine, columns, specs, n)
     limits = F.lit(None)
     for row in totals:
         here = F.struct(*[F.lit(row[k]).alias(k) for k in ("b1", "n1", "b0", "n0")])
@@ -215,7 +230,6 @@ def quota_samples(
         *df.columns, "_h", "_b", "_a.*"
     )
     placed = join_lookup(spread, cuts.withColumnRenamed("_spec", into), [into, "_stratum"], "inner")
-    fine.unpersist()
     placed = placed.select("*", limits.alias("_l")).select("*", "_l.*").drop("_l")
     b, cut = F.col("_b"), F.col("_cut")
     edge = (b == cut) | (b == F.col("b1")) | (b == F.col("b0"))
@@ -236,26 +250,37 @@ def quota_samples(
 
 
 def _label(strata: Sequence[str]) -> Column:
-    """One text per stratum; null and text stay apart."""
-    return F.to_json(F.struct(*[F.col(c) for c in strata])) if strata else F.lit("{}")
+    """One text per stratum."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in strata])
 
 
 def _quota_cuts(
-    fine: DataFrame, specs: dict[str, tuple[Sequence[str], Column | Callable[[DataFrame], DataFrame]]], n: int
+    fine: DataFrame, columns: Sequence[str], specs: dict[str, tuple[Sequence[str], Column | Callable[[DataFrame], DataFrame]]], n: int
 ) -> tuple[DataFrame, list]:
     """Cut prefix and rest per (spec, stratum), and per spec the cuts of picked and unpicked rows."""
-    hists, quotas = [], []
+    fine = fine.persist()
+    combos = fine.groupBy(*columns).agg(F.sum("_c").alias("_c"))
+    combos = _small_or_same(combos)
+    quotas = []
     for name, (strata, quota) in specs.items():
         strata = list(strata)
-        sizes = fine.groupBy(*strata).agg(F.sum("_c").alias("n"))
+        sizes = combos.groupBy(*strata).agg(F.sum("_c").alias("n"))
         sized = quota(sizes) if callable(quota) else sizes.withColumn("quota", quota)
         clamped = F.least(F.greatest("quota", F.lit(0)), "n").cast("bigint").alias("_q")
         quotas.append(sized.select(F.lit(name).alias("_spec"), _label(strata).alias("_stratum"), clamped))
-        hists.append(fine.select(F.lit(name).alias("_spec"), _label(strata).alias("_stratum"), "_b", "_c"))
     keyed = ["_spec", "_stratum"]
-    hist = reduce(DataFrame.unionByName, hists).groupBy(*keyed, "_b").agg(F.sum("_c").alias("_c"))
+    limits = _small_or_same(reduce(DataFrame.unionByName, quotas))
+    asked = F.array(*[
+        F.struct(F.lit(name).alias("_spec"), _label(strata).alias("_stratum"))
+        for name, (strata, _) in specs.items()
+    ])
+    hist = (
+        fine.select("_b", "_c", F.explode(asked).alias("_a"))
+        .groupBy("_a._spec", "_a._stratum", "_b")
+        .agg(F.sum("_c").alias("_c"))
+    )
     steps = hist.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keyed).orderBy("_b")))
-    both = steps.join(reduce(DataFrame.unionByName, quotas), keyed)
+    both = steps.join(limits, keyed).persist()
     rest = F.col("_q") - F.col("_end") + F.col("_c")
     cuts = (
         both.where(F.col("_end") >= F.col("_q"))
@@ -284,8 +309,16 @@ def _quota_cuts(
         "_spec",
         *[F.coalesce(F.col(f"c{p}._b"), F.lit("")).alias(f"b{p}") for p in (1, 0)],
         *[F.coalesce(F.col(f"c{p}.need"), F.lit(0)).alias(f"n{p}") for p in (1, 0)],
-    )
-    return cuts, totals.collect()
+    ).collect()
+    cuts = _small_or_same(cuts)
+    both.unpersist()
+    fine.unpersist()
+    return cuts, totals
+
+
+def _small_or_same(df: DataFrame) -> DataFrame:
+    small = bounded_table(df)
+    return df if small is None else small
 
 
 # --------------------------------------------------------------------------
