@@ -115,6 +115,20 @@ def apply_zscore(df: DataFrame, columns: Sequence[str], mean: float, std: float,
     return df.select(*[scaled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def encode_and_scale(
+    df: DataFrame,
+    codes: DataFrame,
+    categorical: Sequence[str],
+    features: Sequence[str],
+    mean: float,
+    std: float,
+    overrides: dict[str, dict[str, int]] | None = None,
+    clip: float | None = None,
+) -> DataFrame:
+    """Fitted codes, then the fitted z-score; the same step for batch and serving rows."""
+    return apply_zscore(apply_frequency_codes(df, codes, categorical, overrides), features, mean, std, clip)
+
+
 def unscaled(value: Column, mean: float, std: float) -> Column:
     return value * F.lit(std) + F.lit(mean)
 

@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from panelrec.functions.scalars import draw_key
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SORT_ROWS = 5_000_000
 SALTS = 64
 HOT_SHARE = 512
 
 
 def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table when it has at most ``max_rows`` rows, else None.
+    """``df`` as a local table when it is within ``max_rows`` and 64 MB, else None.
 
     Never brings more than ``max_rows + 1`` rows to the driver.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > BROADCAST_BYTES:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
@@ -155,7 +156,13 @@ def hash_segments(
             )
         ).alias("_cuts")
     )
-    placed = join_lookup(hashed, cuts, strata)
+    if strata == ["_all"]:
+        # One stratum has one row of cuts, so it travels as literals.
+        row = cuts.first()
+        given = [F.struct(*[F.lit(c[k]).alias(k) for k in ("b", "need", "whole")]) for c in row["_cuts"]] if row else []
+        placed = hashed.withColumn("_cuts", F.array(*given) if given else F.lit(None).cast(cuts.schema["_cuts"].dataType))
+    else:
+        placed = join_lookup(hashed, cuts, strata)
     placed = placed.withColumn(
         "_base", F.size(F.filter("_cuts", lambda c: F.col("_b") > c["b"]))
     ).withColumn(

@@ -7,59 +7,50 @@ from panelrec import config as C
 from panelrec.operators import clean as K
 from panelrec.operators import panel as P
 
-RAW = {
-    "snapshot_date": ["2016-01-28", "2016-02-28", "2016-03-28", "2016-01-28"],
-    "customer_id": ["1001", "1001", "1001", "1002"],
-    "employee_index": ["N", "NA", "N", None],
-    "residence_country": ["ES", "ES", "ES", "FR"],
-    "gender": ["H", "V", "NA", "V"],
-    "age": [" 35", "35 ", "NA", "28"],
-    "join_date": ["2015-01-15", "2015-01-15", "2015-01-15", None],
-    "is_new_customer": ["0", "0", "0", "1"],
-    "seniority_months": ["12", "-5", "14", "1"],
-    "customer_relation_primary": ["1", "1", "1", "1"],
-    "last_date_primary_customer": ["NA", "NA", "NA", "NA"],
-    "customer_type_month_start": ["1.0", "1", "NA", "1.0"],
-    "relation_type_month_start": ["A", "I", "NA", "A"],
-    "residence_status": ["S", "S", "N", "S"],
-    "is_foreigner": ["N", "N", "S", "S"],
-    "spouse_employee_index": ["NA", "N", "S", "N"],
-    "entry_channel": ["KAT", "KAT", "KFC", "OTHER_CH"],
-    "is_deceased": ["N", "N", "N", "N"],
-    "address_type": ["1", "1", "1", "1"],
-    "province_code": ["28", "28", "28", "08"],
-    "province_name": ["MADRID", "MADRID", "MADRID", "BARCELONA"],
-    "is_active": ["1", "1", "0", "1"],
-    "gross_household_income": ["100000.0", "NA", "120000.0", "90000.0"],
-    "customer_segment": ["02 - P", "NA", "02 - P", "01 - TOP"],
+USUAL = {c: "0" for c in C.RAW_TO_CLEAN.values()} | {
+    "join_date": "2013-06-30", "gender": "NA", "province_code": "41", "employee_index": "B",
+    "residence_country": "PT", "entry_channel": "KHE", "customer_segment": "03 - U",
 }
 
 
 @pytest.fixture(scope="module")
 def raw(spark):
-    data = dict(RAW)
-    for item in C.TARGET_ITEMS + C.OTHER_ITEMS:
-        data[item] = ["0"] * 4
-    data["current_account"] = ["1", "1", "1", "0"]
-    data["payroll_account"] = ["0", "1", "1", "0"]
-    rows = list(zip(*data.values()))
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in data))
+    """Three months of one customer, one month of another without a join date."""
+    rows = [
+        USUAL | {
+            "customer_id": "55", "snapshot_date": "2015-10-28", "gender": "V", "age": "  61 ", "seniority_months": "-99",
+            "customer_type_month_start": "2.0", "relation_type_month_start": "P", "residence_status": "s",
+            "is_foreigner": "S", "gross_household_income": " 40000.5", "funds": "1",
+        },
+        USUAL | {
+            "customer_id": "55", "snapshot_date": "2015-11-28", "gender": "H", "age": "sixty", "seniority_months": "7",
+            "customer_type_month_start": " NULL ", "relation_type_month_start": "nan", "residence_status": "N",
+            "is_foreigner": "", "gross_household_income": "nan", "funds": "1", "taxes": "1",
+        },
+        USUAL | {
+            "customer_id": "55", "snapshot_date": "2015-12-28", "age": "", "seniority_months": "8",
+            "customer_type_month_start": "3", "relation_type_month_start": "A", "residence_status": "S",
+            "is_foreigner": "N", "gross_household_income": "60000.5", "taxes": "1", "employee_index": "NA",
+        },
+        USUAL | {"customer_id": "77", "snapshot_date": "2015-12-28", "join_date": "30/06/2013", "province_code": "50"},
+    ]
+    names = list(USUAL)
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ", ".join(f"{c} string" for c in names))
 
 
 def test_clean_panel(raw):
     clean = K.clean_panel(raw)
     kinds = dict(clean.dtypes)
-    rows = clean.orderBy("snapshot_date").collect()
-    assert [r["customer_id"] for r in rows] == ["1001"] * 3
-    assert kinds["snapshot_date"] == kinds["join_date"] == "date"
-    assert [r["gender"] for r in rows] == ["F", "M", "Unknown"]
-    assert [r["age"] for r in rows] == [35, 35, None]
-    assert [r["seniority_months"] for r in rows] == [12, 0, 14]
-    assert [r["customer_type_month_start"] for r in rows] == ["1", "1", "UNKNOWN"]
-    assert [r["relation_type_month_start"] for r in rows] == ["A", "I", "I"]
-    assert [r["residence_status"] for r in rows] == [1, 1, 0]
-    assert [r["is_foreigner"] for r in rows] == [0, 0, 1]
-    assert rows[1]["gross_household_income"] == 110000.0
+    got = clean.orderBy("snapshot_date").select(
+        "customer_id", "gender", "age", "seniority_months", "customer_type_month_start", "relation_type_month_start",
+        "residence_status", "is_foreigner", "gross_household_income", "employee_index",
+    )
+    assert [tuple(r) for r in got.collect()] == [
+        ("55", "M", 61, 0, "2", "P", 1, 1, 40000.5, "B"),
+        ("55", "F", None, 7, "UNKNOWN", "I", 0, 0, 50000.5, "B"),
+        ("55", "Unknown", None, 8, "3", "A", 1, 0, 60000.5, "N"),
+    ]
+    assert {kinds[c] for c in ("snapshot_date", "join_date", "last_date_primary_customer")} == {"date"}
     assert {kinds[i] for i in C.TARGET_ITEMS + C.OTHER_ITEMS} == {"tinyint"}
 
 
@@ -68,8 +59,8 @@ def test_clean_to_features_has_catalog_columns(raw):
     names = K.feature_columns(features)
     assert len(names) == 81
     rows = features.orderBy("snapshot_date").collect()
-    assert [r["target_class"] for r in rows] == [2, 0]
-    assert rows[1]["has_payroll_account_lag1"] == 1
+    assert [r["target_class"] for r in rows] == [15, 0]
+    assert (rows[1]["has_taxes_lag1"], rows[1]["has_funds_lag1"], rows[1]["has_taxes_lag2"]) == (1, 1, 0)
     roles = K.column_roles(features)
     assert "province_code" in roles["categorical"] and "age" in roles["numeric"]
 
@@ -92,19 +83,17 @@ def _month(spark, months):
         [tuple(r[c] for c in order) for r in rows], ", ".join(f"{c} {kinds.get(c, 'int')}" for c in order))
 
 
-def test_three_months(spark):
-    t = _month(spark, {1: {"current_account"}, 2: {"current_account", "payroll_account"},
-                       3: {"current_account", "payroll_account", "credit_card"}})
+def test_feature_values(spark):
+    t = _month(spark, {2: {"mortgage"}, 3: {"mortgage", "payroll_account"}, 4: {"mortgage", "payroll_account", "loans", "securities"}})
     rows = {r["snapshot_date"].month: r for r in P.panel_features(t, C.BANK_PANEL).collect()}
-    assert set(rows) == {2, 3}
-    march = rows[3]
-    assert (march["has_current_account_lag1"], march["has_payroll_account_lag1"], march["has_credit_card_lag1"]) == (1, 1, 0)
-    assert march["target_class"] == 3 and rows[2]["target_class"] == 2
-    assert march["total_products_lag1"] == 2 and march["delta_payroll_account"] == 1
-    assert march["payroll_bundle_lag1"] == pytest.approx(1 / 3)
-    assert march["payroll_eligible"] == 1 and march["income_to_province_ratio"] == 1.0
-    assert march["months_as_customer"] == pytest.approx(14.4) and march["age_at_join"] == pytest.approx(33.8)
-    assert (march["sin_month"], march["cos_month"]) == (1.0, 0.0)
+    assert set(rows) == {3, 4} and (rows[3]["target_class"], rows[4]["target_class"]) == (2, 6)
+    april = rows[4]
+    assert (april["has_mortgage_lag1"], april["has_securities_lag1"], april["has_payroll_account_lag2"]) == (1, 0, 0)
+    assert (april["total_products_lag1"], april["total_products_lag2"], april["delta_payroll_account"]) == (2, 0, 1)
+    assert april["credit_bundle_lag1"] == pytest.approx(1 / 3) and april["payroll_eligible"] == april["pensions_eligible"] == 1
+    assert april["income_to_province_ratio"] == 1.0 and april["is_tax_season"] == 1 and april["is_summer_season"] == 0
+    assert april["months_as_customer"] == pytest.approx(15.4) and april["age_at_join"] == pytest.approx(33.7)
+    assert (april["sin_month"], april["cos_month"]) == (0.866, -0.5)
 
 
 def test_two_acquisitions_do_not_shift_lags(spark):
@@ -128,27 +117,22 @@ def test_gap_guard_and_history_flag(spark):
 
 def test_holdout_targets(spark):
     def month(m, held):
-        rows = [(c, date(2016, m, 28), *[int(i in h) for i in C.TARGET_ITEMS]) for c, h in held.items()]
+        rows = [(who, date(2015, m, 28), *[int(i in h) for i in C.TARGET_ITEMS]) for who, h in held.items()]
         return spark.createDataFrame(rows, "customer_id string, snapshot_date date, " + ", ".join(f"{i} int" for i in C.TARGET_ITEMS))
 
-    out = P.holdout_targets(
-        month(5, {"c1": {"current_account", "credit_card"}, "c2": {"current_account"}}),
-        month(4, {"c1": {"current_account"}, "c2": set()}), C.BANK_PANEL,
-    )
-    rows = {r["customer_id"]: r for r in out.collect()}
-    assert rows["c1"]["target_class"] == 3 and rows["c1"]["added_products"] == ["credit_card"]
-    assert (rows["c1"]["added_credit_card"], rows["c1"]["added_current_account"]) == (1, 0)
-    assert rows["c2"]["target_classes"] == [1] and rows["c2"]["added_current_account"] == 1
+    now = month(9, {"x": {"funds", "taxes", "pensions"}, "y": {"funds"}, "z": {"e_account"}})
+    before = month(8, {"x": {"funds"}, "y": {"funds", "taxes"}})
+    rows = {r["customer_id"]: r for r in P.holdout_targets(now, before, C.BANK_PANEL).collect()}
+    assert {k: r["target_class"] for k, r in rows.items()} == {"x": 4, "y": 0, "z": 13}
+    assert rows["x"]["target_classes"] == [4, 15] and rows["x"]["added_products"] == ["pensions", "taxes"]
+    assert (rows["x"]["added_taxes"], rows["x"]["added_funds"]) == (1, 0) and rows["y"]["added_products"] == []
 
 
 def test_cap_categories(spark):
-    t = spark.createDataFrame([("KAT", "ES", "28"), ("KFC", "FR", None), ("RARE", "XX", "08")], "entry_channel string, residence_country string, province_code string")
-    tops = {
-        "entry_channel": spark.createDataFrame([("KAT",), ("KFC",)], "entry_channel string"),
-        "residence_country": spark.createDataFrame([("ES",), ("FR",)], "residence_country string"),
-    }
-    rows = K.cap_categories(t, tops, fill=["province_code"]).collect()
-    assert [tuple(r) for r in rows] == [("KAT", "ES", "28"), ("KFC", "FR", "UNKNOWN"), ("OTHER", "OTHER", "08")]
+    t = spark.createDataFrame([("a", "u"), ("b", None), (None, "v")], "channel string, region string")
+    tops = {"channel": spark.createDataFrame([("a",)], "channel string")}
+    rows = K.cap_categories(t, tops, fill=["region"]).collect()
+    assert [tuple(r) for r in rows] == [("a", "u"), ("OTHER", "UNKNOWN"), ("OTHER", "v")]
 
 
 def test_impute_falls_back_to_overall_median(spark):

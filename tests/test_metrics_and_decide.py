@@ -27,36 +27,36 @@ def one(df):
 
 
 def test_map(spark):
-    t = lists(spark, (["c"], ["c"]), (["p", "c"], ["c"]), (["p"], []))
-    assert one(M.map_at_k(t, "recs", "actual", (7,)))["map_7"] == pytest.approx(0.75)
-    perfect = lists(spark, (["a", "b"], ["a", "b"]))
-    assert one(M.map_at_k(perfect, "recs", "actual", (7,)))["map_7"] == 1.0
-    cut = lists(spark, (["p", "c", "t"], ["c"]))
-    assert one(M.map_at_k(cut, "recs", "actual", (1, 7))) == {"map_1": 0.0, "map_7": 0.5}
-    assert one(M.map_at_k(lists(spark, (["p"], [])), "recs", "actual", (7,)))["map_7"] == 0.0
+    t = lists(spark, (["a", "b", "c"], ["a", "c"]), (["x", "y", "a"], ["a"]), (["a"], []))
+    got = one(M.map_at_k(t, "recs", "actual", (1, 2, 7)))
+    assert got["map_7"] == pytest.approx(((1 + 2 / 3) / 2 + 1 / 3) / 2)
+    assert got["map_2"] == pytest.approx((1 / 2 + 0) / 2) and got["map_1"] == pytest.approx(0.5)
+    assert one(M.map_at_k(lists(spark, (["a"], [])), "recs", "actual", (7,)))["map_7"] == 0.0
 
 
 def test_ndcg_mrr_recall(spark):
-    t = lists(spark, (["t", "c"], ["c"]), (["f", "m"], ["l"]))
-    assert one(M.ndcg_at_k(t.limit(1), "recs", "actual", (4,)))["ndcg_4"] == pytest.approx(0.6309, abs=1e-4)
-    assert one(M.mrr(t, "recs", "actual"))["mrr"] == pytest.approx(0.25)
-    t = lists(spark, (["c", "t"], ["c", "p"]), (["f", "m"], ["l"]))
-    got = one(M.recall_hit_at_k(t, "recs", "actual", (7,)))
-    assert (got["recall_7"], got["hit_7"]) == (0.25, 0.5)
-    assert one(M.ndcg_at_k(lists(spark, ([], ["c"])), "recs", "actual", (4,)))["ndcg_4"] == 0.0
+    t = lists(spark, (["x", "y", "a"], ["a"]), (["b", "z"], ["b", "q", "r", "s"]), ([], ["a"]))
+    got = one(M.ndcg_at_k(t, "recs", "actual", (7,)))["ndcg_7"]
+    ideal = sum(1 / math.log2(i + 2) for i in range(4))
+    assert got == pytest.approx((1 / 2 + 1 / ideal + 0) / 3)
+    assert one(M.mrr(t, "recs", "actual"))["mrr"] == pytest.approx((1 / 3 + 1 + 0) / 3)
+    got = one(M.recall_hit_at_k(t, "recs", "actual", (2, 3)))
+    assert got["recall_3"] == pytest.approx((1 + 1 / 4) / 3) and got["hit_3"] == pytest.approx(2 / 3)
+    assert got["recall_2"] == pytest.approx(1 / 12) and got["hit_2"] == pytest.approx(1 / 3)
 
 
 def test_customer_eval_rules(spark):
-    t = lists(spark, (["a", "b"], ["a", "b"]), (["a", "t"], ["c"]), (["a"], []), ([], []), ([], ["a"]))
+    t = lists(spark, (["x", "a"], ["a", "b", "c"]), (["x"], ["a"]), (["x"], []), ([], []), ([], ["a"]))
     rows = M.customer_eval(t, "recs", "actual").collect()
     got = [(r["precision"], r["recall"], r["average_precision"]) for r in rows]
-    assert got == [(1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 1.0, 1.0), (0.0, 0.0, 0.0)]
+    assert got == [(0.5, 0.3333, 0.25), (0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 1.0, 1.0), (0.0, 0.0, 0.0)]
 
 
-def test_ece_is_zero_for_sure_hits(spark):
-    rows = [(i, [1.0 if j == i else 0.0 for j in range(16)]) for i in range(4)]
+def test_ece_by_hand(spark):
+    rows = [(0, [0.95, 0.05]), (1, [0.92, 0.08]), (0, [0.65, 0.35]), (1, [0.45, 0.55])]
     t = spark.createDataFrame(rows, "y int, probs array<double>")
-    assert one(M.ece(t, "probs", "y"))["ece"] == 0.0
+    want = (2 * abs(0.5 - 0.935) + abs(1 - 0.65) + abs(1 - 0.55)) / 4
+    assert one(M.ece(t, "probs", "y"))["ece"] == pytest.approx(want)
 
 
 def shares(spark, values):
@@ -64,35 +64,37 @@ def shares(spark, values):
 
 
 def test_drift(spark):
-    flat, moved = shares(spark, [0.25] * 4), shares(spark, [0.6, 0.2, 0.1, 0.1])
-    assert one(M.psi(flat, flat))["psi"] == pytest.approx(0.0, abs=1e-9)
-    assert one(M.psi(flat, moved))["psi"] > 0.1
-    assert one(M.js_divergence(flat, flat)) == {"js_divergence": 0.0, "js_distance": 0.0}
-    apart = M.js_divergence(shares(spark, [1, 0]), shares(spark, [0, 1]))
+    p, q = [0.5, 0.3, 0.2], [0.2, 0.3, 0.5]
+    a, b = shares(spark, p), shares(spark, q)
+    assert one(M.psi(a, a))["psi"] == pytest.approx(0.0, abs=1e-12)
+    assert one(M.psi(a, b))["psi"] == pytest.approx(sum((y - x) * math.log(y / x) for x, y in zip(p, q)))
+    assert one(M.js_divergence(a, a)) == {"js_divergence": 0.0, "js_distance": 0.0}
+    mid = [(x + y) / 2 for x, y in zip(p, q)]
+    js = sum(x * math.log2(x / m) + y * math.log2(y / m) for x, y, m in zip(p, q, mid)) / 2
+    assert one(M.js_divergence(a, b)) == {"js_divergence": round(js, 4), "js_distance": round(math.sqrt(js), 4)}
+    apart = M.js_divergence(shares(spark, [3, 0, 1]), shares(spark, [0, 2, 0]))
     assert one(apart) == {"js_divergence": 1.0, "js_distance": 1.0}
     assert one(M.js_divergence(shares(spark, [0, 0]), shares(spark, [0, 1])))["js_divergence"] == 0.0
-    mid = one(M.js_divergence(shares(spark, [0.4, 0.3, 0.2, 0.1]), shares(spark, [0.1, 0.2, 0.3, 0.4])))
-    assert mid["js_distance"] == pytest.approx(math.sqrt(mid["js_divergence"]), abs=1e-2)
 
 
 def test_gini(spark):
-    catalog = ["a", "b", "c", "d"]
-    even = lists(spark, (["a", "b"], []), (["c", "d"], []), (["a", "c"], []), (["b", "d"], []))
+    catalog = ["k", "l", "m"]
+    even = lists(spark, (["k", "l", "m"], []), (["m"], []), (["l", "k"], []))
     assert one(M.catalog_gini(even, "recs", catalog))["gini"] == 0.0
-    steep = spark.range(100).select(F.array(F.lit("a")).alias("recs"))
-    assert one(M.catalog_gini(steep, "recs", catalog))["gini"] == pytest.approx(0.75)
+    steep = spark.range(40).select(F.array(F.lit("l")).alias("recs"))
+    assert one(M.catalog_gini(steep, "recs", catalog))["gini"] == pytest.approx(2 / 3, abs=1e-4)
     assert one(M.catalog_gini(steep.limit(0), "recs", catalog))["gini"] == 0.0
 
 
 def test_alerts_accuracy_latency(spark):
-    t = spark.createDataFrame([(0,), (3,), (0,)], "pred int")
-    assert one(M.alert_distribution(t, "pred")) == {"active_pct": 33.33, "silent_pct": 66.67}
+    t = spark.createDataFrame([(0,), (5,), (2,), (9,), (0,), (1,)], "pred int")
+    assert one(M.alert_distribution(t, "pred")) == {"active_pct": 66.67, "silent_pct": 33.33}
     assert one(M.alert_distribution(t.limit(0), "pred")) == {"active_pct": 0.0, "silent_pct": 100.0}
-    t = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 3)], "y int, p int")
-    assert one(M.buyer_accuracy(t, "p", "y")) == {"buyer_top1": 50.0, "non_buyer": 50.0, "overall": 50.0}
-    ms = spark.createDataFrame([(10.0,), (20.0,)], "ms double")
+    t = spark.createDataFrame([(0, 0), (0, 4), (0, 0), (7, 7), (5, 0), (3, 8), (2, 9)], "y int, p int")
+    assert one(M.buyer_accuracy(t, "p", "y")) == {"buyer_top1": 25.0, "non_buyer": 66.67, "overall": 42.86}
+    ms = spark.createDataFrame([(4.0,), (8.0,), (16.0,)], "ms double")
     got = one(M.latency_summary(ms, "ms"))
-    assert got["mean"] == got["p50"] == 15.0 and got["p99"] == pytest.approx(19.9)
+    assert got["mean"] == pytest.approx(28 / 3) and got["p50"] == 8.0 and got["p95"] == pytest.approx(15.2)
     assert one(M.latency_summary(ms.limit(0), "ms")) == {"mean": 0.0, "p50": 0.0, "p95": 0.0, "p99": 0.0}
 
 
