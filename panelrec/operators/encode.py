@@ -12,7 +12,7 @@ from panelrec.functions import scalars as S
 from panelrec.functions.arrays import clipped
 from panelrec.operators.scale import (
     bounded_table,
-    group_quantiles,
+    column_quantiles,
     join_lookup,
     ranked_table,
     running_totals,
@@ -173,9 +173,7 @@ def scale_minmax(df: DataFrame, columns: Sequence[str], low: float = -1.0, high:
 
 def scale_robust(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Centre on the median, divide by the interquartile range."""
-    source = long_form(fit if fit is not None else df, columns)
-    rows = group_quantiles(source, ["column"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()
-    stats = {r["column"]: r for r in rows}
+    stats = column_quantiles(fit if fit is not None else df, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     return _each(df, {
         c: (F.col(c).cast("double") - F.lit(s["q2"])) / F.lit((s["q3"] - s["q1"]) or 1.0)
         for c, s in stats.items()

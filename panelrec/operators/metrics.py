@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelrec.functions import arrays as A
 from panelrec.functions import ranking as R
-from panelrec.operators.scale import group_quantiles, join_lookup, running_totals
+from panelrec.operators.scale import bounded_table, group_quantiles, join_lookup, running_totals
 
 
 def or_zero(value: Column) -> Column:
@@ -444,7 +444,9 @@ def model_record(df: DataFrame, name: str, train_shares: DataFrame, catalog: Seq
         F.round(pct_of(p == y, y == 0), 2).alias("non_buyer_acc"),
         F.round(pct_of(p == y), 2).alias("overall_top1_acc"),
     ]
-    predicted = class_distribution(rows, "_p", n_classes)
+    # Distributions hold one row per class.
+    predicted = bounded_table(class_distribution(rows, "_p", n_classes))
+    train_shares = bounded_table(train_shares)
     parts = [
         ece(df, "probs", "y").select(F.round("ece", 4).alias("ece")),
         psi(train_shares, predicted).select(F.round("psi", 4).alias("psi")),

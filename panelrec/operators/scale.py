@@ -14,21 +14,34 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelrec.functions.scalars import draw_key
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 SORT_ROWS = 5_000_000
 SALTS = 64
 HOT_SHARE = 512
 
 
-def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table when it is within ``max_rows`` and 64 MB, else None.
+def _row_bytes(kind: T.DataType) -> int:
+    """Rough bytes of one value, arrays taken as 32 elements long."""
+    if isinstance(kind, T.StructType):
+        return sum(_row_bytes(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 32 * _row_bytes(kind.elementType)
+    return 8 if isinstance(kind, (T.NumericType, T.DateType, T.BooleanType)) else 32
 
-    Never brings more than ``max_rows + 1`` rows to the driver.
+
+def bounded_table(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
+    """``df`` as a local table when it is small enough to broadcast, else None.
+
+    Without ``max_rows`` the limit is 64 MB over the row width, at most a million
+    rows; never more than one row beyond the limit reaches the driver.
     """
+    if max_rows is None:
+        max_rows = min(BROADCAST_ROWS, BROADCAST_BYTES // max(_row_bytes(df.schema), 1))
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows or rows.nbytes > BROADCAST_BYTES:
         return None
@@ -51,12 +64,12 @@ def join_lookup(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Join a large table with a keyed one; null keys match null keys.
 
-    ``lookup`` holds one row per key. Up to ``max_rows`` rows it is broadcast; a
-    larger one is shuffled, with the rows of hot keys spread over ``SALTS`` parts.
+    ``lookup`` holds one row per key. Within the bound of ``bounded_table`` it is
+    broadcast; a larger one is shuffled, with hot keys spread over ``SALTS`` parts.
     """
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys]
@@ -410,6 +423,19 @@ def medians_and_overall(
     return table.where("_all = 0").drop("_all"), overall["median"] if overall else None
 
 
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], levels: dict[str, float], sort_rows: int = SORT_ROWS
+) -> dict[str, dict[str, float]]:
+    """Exact quantiles of whole columns, in one pass when the table is small enough."""
+    if df.count() <= sort_rows:
+        points = F.array(*[F.lit(p) for p in levels.values()])
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), points).alias(c) for c in columns]).first()
+        return {c: dict(zip(levels, row[c] or [None] * len(levels))) for c in columns}
+    return {
+        c: group_quantiles(df, [], c, levels, sort_rows=sort_rows).first().asDict() for c in columns
+    }
+
+
 def _largest(base: DataFrame, by: list[str]) -> int:
     sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     return sizes.agg(F.max("_n")).first()[0] or 0

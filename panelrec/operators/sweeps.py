@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelrec.config import ASCENT_THETAS, NOISY_CLASSES, PRECISION_TIERS
 from panelrec.functions.scalars import draw_key
 from panelrec.operators.metrics import with_row_scores
+from panelrec.operators.scale import bounded_table
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,9 @@ def sweep(df: DataFrame, axes: Sequence[Axis], k: int = 7) -> DataFrame:
         .groupBy(*places)
         .agg(*_row_sums())
     )
-    # From here on at most prod(len(thresholds) + 1) rows exist.
+    # From here on at most prod(len(thresholds) + 1) rows exist: run the pass once.
+    local = bounded_table(parts)
+    parts = parts if local is None else local
     spread = parts
     for p in places:
         spread = spread.withColumn(p, F.explode(F.sequence(F.lit(0), F.col(p))))

@@ -297,8 +297,8 @@ def fp_breakdown(spark, sf):
 
 
 @query("fit_tier_thresholds", f"""{with_views('scores', '').rstrip()},\n{_pr},\nfp as ({_fp})
-    select 'moderate' as tiers, cls, case when prec_vs_nb >= 70 then 1.0 when prec_vs_nb >= 45 then 1.5 when prec_vs_nb >= 30 then 2.5 else 3.5 end as theta from fp
-    union all select 'strict', cls, case when prec_vs_nb >= 70 then 1.0 when prec_vs_nb >= 45 then 1.5 when prec_vs_nb >= 30 then 3.0 else 4.5 end from fp""")
+    select 'moderate' as tiers, cls, cast(case when prec_vs_nb >= 70 then 1.0 when prec_vs_nb >= 45 then 1.5 when prec_vs_nb >= 30 then 2.5 else 3.5 end as double) as theta from fp
+    union all select 'strict', cls, cast(case when prec_vs_nb >= 70 then 1.0 when prec_vs_nb >= 45 then 1.5 when prec_vs_nb >= 30 then 3.0 else 4.5 end as double) from fp""")
 def fit_tier_thresholds(spark, sf):
     table = M.fp_breakdown(_argmaxed(spark, sf), "pred", "y", 16)
     both = [W.fit_tier_thresholds(table, t).select(F.lit(t).alias("tiers"), "cls", "theta") for t in ("moderate", "strict")]

@@ -74,7 +74,7 @@ def _hist_df(spark, sf):
     return V.scores(spark, sf).select("row_id", "logits", B.even_borders(-10.0, 10.0, 16, F.lit(1.0), F.lit(2.0)).alias("b"))
 
 
-@query("hist_borders", _hist + " select row_id, cast(i - 1 as integer) as pos, round(b[i], 6) + 0.0 as border from hist, range(1, 18) r(i)")
+@query("hist_borders", _hist + " select row_id, cast(i - 1 as integer) as pos, round(cast(b[i] as double), 6) + 0.0 as border from hist, range(1, 18) r(i)")
 def hist_borders(spark, sf):
     return rounded(_hist_df(spark, sf).select("row_id", F.posexplode("b").alias("pos", "border")))
 
