@@ -20,7 +20,7 @@ from panelrec.functions.scalars import draw_key
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-SORT_ROWS = 5_000_000
+SORT_ROWS = 1_000_000
 SALTS = 64
 HOT_SHARE = 512
 

@@ -155,7 +155,7 @@ def iqm(spark, sf):
     return rounded(R.iqm(V.results(spark, sf), ["suite"], "metric"))
 
 
-_brands = [f"Brand#{i}" for i in range(1, 6)]
+_brands = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query("pivot_fill", with_views("results", "select suite_fold, " + ", ".join(
