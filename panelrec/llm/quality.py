@@ -2,7 +2,7 @@
 
 Facts are measured by array expressions inside the row. Each rule maps facts to a vote: 1 (good), -1 (bad) or
 0 (abstains). Votes are counted by pattern over the whole corpus (at most 3^rules rows), expectation-maximisation of a
-two-class model with one accuracy a rule runs on that table, and the posterior of each row is a sum of log odds.
+two-class model with vote chances for each rule and class runs on that table, and the posterior of each row is a sum of log odds.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ RULES = (
     ("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
     ("word_size", "word_chars < 2 * n_words or word_chars > 15 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("symbol_share", "50 * n_symbols > word_chars", "200 * n_symbols <= word_chars"),
     ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
     ("variety", "n_words >= 20 and 5 * n_distinct < n_words", "n_words >= 20 and 4 * n_distinct >= n_words"),
 )
@@ -67,53 +68,68 @@ def votes(measured: DataFrame, rules=RULES) -> DataFrame:
     return measured.withColumn("votes", F.array(*vote))
 
 
+#: Starting chances of the votes (bad, abstain, good) in good and in bad rows.
+START_GOOD, START_BAD = (0.02, 0.28, 0.70), (0.40, 0.30, 0.30)
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good rows and, for each rule, how often its votes are right, given the class it votes on."""
+    """Share of good rows and, for each rule, the chances of its votes (-1, 0, 1) in good and in bad rows."""
 
     prior: float
-    right_on_good: tuple[float, ...]
-    right_on_bad: tuple[float, ...]
+    good: tuple[tuple[float, ...], ...]
+    bad: tuple[tuple[float, ...], ...]
 
     def log_odds(self, at: Column) -> Column:
         """Log odds of good: prior plus each vote's log-likelihood ratio."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for j, (g, b) in enumerate(zip(self.right_on_good, self.right_on_bad)):
+        for j, (g, b) in enumerate(zip(self.good, self.bad)):
             vote = F.get(at, F.lit(j))
-            total = total + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
+            weight = [math.log(x / y) for x, y in zip(g, b)]
+            total = total + F.when(vote == -1, weight[0]).when(vote == 0, weight[1]).otherwise(weight[2])
         return total
 
+    def accuracy(self) -> list[float]:
+        """Chance that each rule is right when it votes."""
+        out = []
+        for g, b in zip(self.good, self.bad):
+            right = self.prior * g[2] + (1 - self.prior) * b[0]
+            out.append(right / (right + self.prior * g[0] + (1 - self.prior) * b[2]))
+        return out
+
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, start: float = 0.8) -> VoteModel:
-    """Expectation-maximisation over counted vote patterns.
+def _oriented(good: list[float], bad: list[float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """A rule stays on its side: its bad vote is at least twice as likely in bad rows, its good vote no likelier there."""
+    gm, gp = min(good[0], 0.1), good[2]
+    bm, bp = min(0.9, max(bad[0], 2 * gm)), min(bad[2], gp)
+    bp = min(bp, 0.98 - bm)
+    return (gm, max(1e-6, 1 - gm - gp), gp), (bm, max(1e-6, 1 - bm - bp), bp)
 
-    Rules start right with ``start``; accuracies carry a Beta prior of ten votes at ``start`` and stay in
-    [0.55, 0.99], so a rule's polarity cannot flip, and the share of good rows stays in [0.05, 0.95].
-    An empty corpus gives the starting model.
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, weight: float = 10.0) -> VoteModel:
+    """Expectation-maximisation over counted vote patterns, a two-class model with rules independent given the class.
+
+    Chances start at ``START_GOOD`` and ``START_BAD`` and keep them as a Dirichlet prior of ``weight`` votes; rules keep
+    their orientation and the share of good rows stays in [0.5, 0.98]. An empty corpus gives the starting model.
     """
-    m = len(patterns[0][0]) if patterns else 0
-    prior, good, bad = 0.7, [start] * m, [start] * m
-    clip = lambda x, lo, hi: min(hi, max(lo, x))
+    m = len(patterns[0][0]) if patterns else len(RULES)
+    prior, good, bad = 0.8, [START_GOOD] * m, [START_BAD] * m
     patterns = sorted(patterns)
     total = sum(c for _, c in patterns)
     for _ in range(rounds if total else 0):
-        weight = 0.0
-        hit_g, all_g, hit_b, all_b = ([0.0] * m for _ in range(4))
+        mass = 0.0
+        seen_g = [[weight * x for x in START_GOOD] for _ in range(m)]
+        seen_b = [[weight * x for x in START_BAD] for _ in range(m)]
         for vote, count in patterns:
-            odds = math.log(prior / (1 - prior))
-            for j, v in enumerate(vote):
-                odds += math.log(good[j] / (1 - bad[j])) if v == 1 else math.log((1 - good[j]) / bad[j]) if v == -1 else 0.0
-            p = 1 / (1 + math.exp(-odds))
-            weight += p * count
+            odds = math.log(prior / (1 - prior)) + sum(math.log(good[j][v + 1] / bad[j][v + 1]) for j, v in enumerate(vote))
+            p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+            mass += p * count
             for j, v in enumerate(vote):
-                if v:
-                    all_g[j] += p * count
-                    all_b[j] += (1 - p) * count
-                    hit_g[j] += p * count * (v == 1)
-                    hit_b[j] += (1 - p) * count * (v == -1)
-        prior = clip(weight / total, 0.05, 0.95)
-        good = [clip((h + 10 * start) / (a + 10), 0.55, 0.99) for h, a in zip(hit_g, all_g)]
-        bad = [clip((h + 10 * start) / (a + 10), 0.55, 0.99) for h, a in zip(hit_b, all_b)]
+                seen_g[j][v + 1] += p * count
+                seen_b[j][v + 1] += (1 - p) * count
+        prior = min(0.98, max(0.5, mass / total))
+        pairs = [_oriented([x / sum(g) for x in g], [x / sum(b) for x in b]) for g, b in zip(seen_g, seen_b)]
+        good, bad = [g for g, _ in pairs], [b for _, b in pairs]
     return VoteModel(prior, tuple(good), tuple(bad))
 
 
@@ -128,7 +144,7 @@ def judged(docs: DataFrame, rules=RULES, least: float = 0.5) -> DataFrame:
         raise ValueError("columns n_words, n_lines and votes are made here; rename them first")
     seen = staged(votes(facts(docs), rules).drop("text"))
     patterns = [(tuple(r["votes"]), r["n"]) for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
-    model = fit_votes(patterns) if patterns else VoteModel(0.7, (0.8,) * len(rules), (0.8,) * len(rules))
+    model = fit_votes(patterns)
     odds = model.log_odds(F.col("votes"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return seen.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn(
