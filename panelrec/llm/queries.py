@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrec.llm import chat, quality, shards
+from panelrec.llm import chat, debruijn, quality, shards, substrings
 from panelrec.llm.common import read
 
 SHARDS = 24
@@ -25,6 +25,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("p_good", 6).alias("p_good"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -34,5 +42,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op9_substring_dedup, op10_sharding)}
 TWINS: dict[str, str] = {}
