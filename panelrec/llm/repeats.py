@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelrec.llm import symbols
-from panelrec.llm.common import staged
+from panelrec.llm.common import discard, staged
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,8 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("copies"),
         F.min("p").alias("p_low"), F.max("p").alias("p_high")).where(rule.keep)
     anchors = anchors.select("a", "low", "copies", (F.col("p_low") != F.col("p_high")).alias("mixed"))
-    hits = staged(rows.join(anchors, "a").where(f"mixed or ({rule.hit})"))
+    kept = rows.join(anchors, "a").where(f"mixed or ({rule.hit})")
+    hits = staged(kept.select("key", "th", "start", "n", "mixed", *[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("a", "p")]))
     mixed = hits.where("mixed")
     paths = staged(mixed.groupBy("a", "p").agg(
         F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
@@ -109,7 +110,7 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
     opens = staged(counted.join(sums, ["a", "w"]).where(better).groupBy("a", "p").agg(
         F.collect_list(F.struct("j", F.col("w_low").alias("low"), F.col("w_copies").alias("copies"))).alias("open")))
     span = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
-    whole = hits.where(f"not mixed and ({rule.hit})").select(
+    whole = hits.where("not mixed").select(
         "key", "th", span(F.col("start"), F.col("start") + F.col("n") + rule.length - 1).alias("span"))
     own = mixed.select("a", "p", "key", "th", "start", "n").join(paths.drop("n"), ["a", "p"])
     path_hit = own.where(rule.hit).select("key", "th", span(F.col("start"), F.col("start") + F.col("n") + rule.length - 1).alias("span"))
@@ -117,7 +118,9 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
     window_hit = rest.select("key", "th", "start", F.explode("open").alias("o")).select(
         "key", "th", "start", F.col("o.j").alias("j"), F.col("o.low").alias("low"), F.col("o.copies").alias("copies")).where(rule.hit).select(
         "key", "th", span(F.col("start") + F.col("j"), F.col("start") + F.col("j") + rule.length).alias("span"))
-    return whole.unionByName(path_hit).unionByName(window_hit).groupBy("key", "th").agg(F.collect_list("span").alias("spans"))
+    found = staged(whole.unionByName(path_hit).unionByName(window_hit).groupBy("key", "th").agg(F.collect_list("span").alias("spans")))
+    discard(hits, paths, opens)
+    return found
 
 
 def covered(spans: pa.ListArray, starts: np.ndarray) -> np.ndarray:
