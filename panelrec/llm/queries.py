@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrec.llm import chat, debruijn, quality, shards, substrings
+from panelrec.llm import chat, debruijn, jaccard, quality, shards, substrings
 from panelrec.llm.common import read
 
 SHARDS = 24
@@ -29,6 +29,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digests(read(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digests(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op9_substring_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join, op9_substring_dedup, op10_sharding)}
 TWINS: dict[str, str] = {}
