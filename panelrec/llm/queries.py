@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrec.llm import chat, debruijn, jaccard, quality, shards, substrings
+from panelrec.llm import chat, debruijn, jaccard, mixing, packing, quality, shards, substrings, toxicity, vectors
 from panelrec.llm.common import read
 
 SHARDS = 24
+APART = (("src1", "src2"),)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(table.unionByName(planted)))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -33,6 +38,21 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digests(read(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "quality")
+    return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judged(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("cluster", packing.cluster_of())
+    return packing.packed(docs.withColumn("size", F.size(mixing.word_list(F.col("text")))), apart=APART)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digests(read(spark, sf_dir, "documents"))
 
@@ -46,5 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join, op9_substring_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_embedding_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join,
+    op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding)}
 TWINS: dict[str, str] = {}

@@ -96,10 +96,13 @@ class Words:
     starts: np.ndarray
 
 
-def words(texts: Texts) -> Words:
-    """Maximal runs of bytes other than space, tab, line breaks, vertical tab and form feed; none crosses texts."""
+def words(texts: Texts, outside: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes other than space, tab, line breaks, vertical tab and form feed; none crosses texts.
+
+    ``outside`` is another set of separating bytes, as 256 flags.
+    """
     n = len(texts.data)
-    inside = ~_SPACE[texts.data]
+    inside = ~outside[texts.data]
     cut = np.zeros(n + 1, bool)
     cut[texts.starts] = True
     before = np.zeros(n, bool)
