@@ -10,17 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelrec.llm import symbols
-from panelrec.llm.common import NO_ID, components, discard, keyed, staged
+from panelrec.llm.common import NO_ID, components, discard, keyed, order_key, staged
 
 RESEEDS = 6
+SHARES = 2
 
 
 @dataclass(frozen=True)
@@ -122,15 +125,16 @@ def set_rows(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(run, "key long, th long, n_shingles long, node long")
 
 
-def signature_rows(docs: DataFrame, join: Join) -> DataFrame:
-    """``(node, sig)``; a set that a task sees again signs once."""
+def signature_rows(docs: DataFrame, join: Join, share: int = 0, shares: int = 1) -> DataFrame:
+    """``(node, sig)`` of the signatures that fall into one of ``shares`` equal shares; a batch's equal sets sign once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
             seen, nodes, signs = set(), [], []
             for found in sets_of(piece, join.words):
                 if len(found) and (node := node_of(found)) not in seen:
                     seen.add(node)
-                    signs.append(signatures(found, join))
+                    made = signatures(found, join)
+                    signs.append(made[made % np.uint64(shares) == np.uint64(share)])
                     nodes.append(np.full(len(signs[-1]), node, np.uint64))
             if nodes:
                 yield pa.RecordBatch.from_arrays([symbols.longs(np.concatenate(nodes)), symbols.longs(np.concatenate(signs))], ["node", "sig"])
@@ -161,13 +165,17 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     components is lost. A null or empty text has an empty set and stays alone; rows without an id come last.
     """
     base = staged(set_rows(docs, join))
-    signs = signature_rows(docs, join)
-    shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
-    members = staged(signs.join(shared, "sig").distinct())
+    found = []
+    for share in range(SHARES):  # one share of the signatures at a time is in shuffle files
+        signs = signature_rows(docs, join, share, SHARES)
+        shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+        found.append(staged(signs.join(shared, "sig")))
+    members = staged(reduce(DataFrame.unionByName, found).distinct())
+    discard(*found)
     pairs = staged(members.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     nodes = members.select("node").distinct()
     first = base.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"), F.min_by("th", "key").alias("th"))
-    texts = staged(docs.dropDuplicates(["key", "th"]).join(first, ["key", "th"]).select("node", "text"))
+    texts = staged(docs.join(first, ["key", "th"]).select("node", "text").dropDuplicates(["node"]))
     links = staged(linked_pairs(pairs, texts, join))
     groups = components(links)
     at = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
@@ -200,10 +208,6 @@ def representatives(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Of repeated rows with that id one stays (the smallest text hash, then any of equal rows); texts without words
     stay all.
     """
-    from pyspark.sql.window import Window
-
-    from panelrec.llm.common import order_key
-
     found = classes(keyed(docs), join).where("n_shingles = 0 or key = component").select(
         F.col("key").alias("__key"), F.col("th").alias("__th"), (F.col("n_shingles") == 0).alias("__empty")).distinct()
     marked = docs.withColumn("__key", order_key()).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -103,7 +103,7 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         places.select("a", "p", F.col("th").alias("th0"), "start"), ["a", "p", "th0"]).groupBy("a", "p", "n", "key", "th0").agg(
         F.min("start").alias("start"))
     wanted = first.groupBy("key", F.col("th0").alias("th")).agg(F.collect_list(F.struct("start", "n", "a", "p")).alias("want"))
-    opened = window_rows(docs.dropDuplicates(["key", "th"]).join(wanted, ["key", "th"]), rule)
+    opened = window_rows(docs.join(wanted, ["key", "th"]), rule)
     counted = opened.join(paths.select("a", "p", "low", "copies"), ["a", "p"])
     sums = counted.groupBy("a", "w").agg(F.min("low").alias("w_low"), F.sum("copies").alias("w_copies"))
     better = "w_low < low" if rule.earlier else "w_copies > 1 and copies = 1"

@@ -23,7 +23,7 @@ from panelrec.llm.common import staged
 BITS = 18
 BUCKETS = 1 << BITS
 SAMPLE_PER_CLASS = 20_000
-PRIOR_COUNT = 20.0
+PRIOR_COUNT = 10.0
 DRIFT = 0.5
 E_LIMIT = 0.05
 _OUTSIDE = np.array([not (chr(i).isalnum() if i < 128 else True) for i in range(256)])
@@ -44,6 +44,15 @@ def buckets(piece: symbols.Texts) -> tuple[np.ndarray, symbols.Words]:
     return (symbols.word_hashes(piece, found, lower=True) >> np.uint64(64 - BITS)).astype(np.int64), found
 
 
+def values_of(piece: symbols.Texts, table: np.ndarray) -> tuple[np.ndarray, symbols.Words]:
+    """Token scores of a piece in text order; a token that its text has said before adds no evidence, only drift."""
+    at, spans = buckets(piece)
+    text = np.repeat(np.arange(piece.rows.num_rows), np.diff(spans.starts))
+    first = np.zeros(len(at), bool)
+    first[np.unique(text * BUCKETS + at, return_index=True)[1]] = True
+    return np.where(first, table[at], np.minimum(table[at], -DRIFT)), spans
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a score sequence, in linear time (Ruzzo and Tompa)."""
     positive = scores > 0
@@ -143,8 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = "false") -> Model:
         total = np.zeros(2 * BUCKETS)
         for piece in symbols.pieces(batches):
             found, spans = buckets(piece)
-            toxic = np.repeat(np.asarray(piece.rows.column("toxic")), np.diff(spans.starts))
-            total += np.bincount(found * 2 + toxic, minlength=2 * BUCKETS)
+            text = np.repeat(np.arange(piece.rows.num_rows), np.diff(spans.starts))
+            each = np.unique(text * BUCKETS + found)  # a text counts once for each of its tokens
+            toxic = np.asarray(piece.rows.column("toxic"))[each // BUCKETS]
+            total += np.bincount(each % BUCKETS * 2 + toxic, minlength=2 * BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "n"])
 
@@ -158,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = "false") -> Model:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
-            at, spans = buckets(piece)
-            all_scores, out = table.value[at], []
+            all_scores, spans = values_of(piece, table.value)
+            out = []
             for lo, hi in zip(spans.starts[:-1], spans.starts[1:]):
                 sums = np.concatenate(([0.0], np.cumsum(all_scores[lo:hi])))
                 out.append(float((sums - np.minimum.accumulate(sums)).max()))
@@ -193,8 +204,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
-            at, spans = buckets(piece)
-            values = table.value[at]
+            values, spans = values_of(piece, table.value)
             found = [evidence(values[lo:hi], rate, log_k) for lo, hi in zip(spans.starts[:-1], spans.starts[1:])]
             tail, mass = np.array([x[0] for x in found]), np.array([x[1] for x in found])
             score = 1 / (1 + np.exp(-np.clip(features(tail, mass) @ weights, -500, 500)))
