@@ -23,16 +23,19 @@ from panelrec.llm import symbols
 from panelrec.llm.common import NO_ID, components, discard, keyed, order_key, staged
 
 RESEEDS = 6
-SHARES = 2
 
 
 @dataclass(frozen=True)
 class Join:
-    """Shingles of ``words`` lower-cased words; a link where 100 * intersection >= percent * union; bands grow by ``growth``."""
+    """Shingles of ``words`` lower-cased words; a link where 100 * intersection >= percent * union; bands grow by ``growth``.
+
+    Signatures are shuffled in ``shares`` shares, one after the other, to bound the disk they take at once.
+    """
 
     words: int = 5
     percent: int = 80
     growth: float = 1.8
+    shares: int = 3
 
     def band(self, size: int) -> int:
         """Band of a set's size: band b covers sizes edge(b) to edge(b + 1) - 1."""
@@ -50,6 +53,11 @@ class Join:
         # |x - y| + |y - x| = x + y - 2 i with i >= p (x + y) / (100 + p), largest where both are at the top
         return (2 * top * (100 - p)) // (100 + p) + 1
 
+    def difference(self, size: int) -> int:
+        """Largest symmetric difference of a linked pair with a set of this size."""
+        largest = 100 * size // self.percent
+        return (size + largest) * (100 - self.percent) // (100 + self.percent)
+
     def bands(self, size: int) -> list[int]:
         """Bands a set signs for: its own and, where a larger partner may lie there, the next."""
         b = self.band(size)
@@ -79,9 +87,9 @@ def _sums(values: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
 def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     """Signatures of a set: for each of its bands, one for each part that has shingles.
 
-    A part both sets leave empty says nothing. Where a set leaves a part empty it signs again under another split of
-    the domain; two linked sets whose only equal parts are empty both do, and meet there. After ``RESEEDS`` splits
-    with an empty part, the empty parts sign too, so no link can be missed.
+    A part both sets leave empty says nothing. Two linked sets can agree on empty parts alone only if every filled part of
+    each holds a difference, so only if neither has more filled parts than its largest difference. Such a set signs
+    again under another split of the domain, and after ``RESEEDS`` splits for its empty parts too: no link is missed.
     """
     out = []
     for b in join.bands(len(found)):
@@ -93,7 +101,7 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
             sums = symbols.mix(_sums(salted, part, parts)) + np.arange(parts, dtype=np.uint64) * np.uint64(symbols.BASE)
             label = np.uint64(((b * (RESEEDS + 1) + seed) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
             out.append(symbols.mix((sums ^ label) if seed == RESEEDS else (sums ^ label)[filled]))
-            if filled.all():
+            if filled.sum() > join.difference(len(found)):
                 break
     return np.concatenate(out)
 
@@ -166,8 +174,8 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """
     base = staged(set_rows(docs, join))
     found = []
-    for share in range(SHARES):  # one share of the signatures at a time is in shuffle files
-        signs = signature_rows(docs, join, share, SHARES)
+    for share in range(join.shares):  # one share of the signatures at a time is in shuffle files
+        signs = signature_rows(docs, join, share, join.shares)
         shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
         found.append(staged(signs.join(shared, "sig")))
     members = staged(reduce(DataFrame.unionByName, found).distinct())

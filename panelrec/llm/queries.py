@@ -35,7 +35,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.digests(read(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85))
+    return jaccard.digests(read(spark, sf_dir, "documents"), jaccard.Join(words=4, percent=85, shares=2))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
