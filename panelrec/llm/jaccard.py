@@ -84,7 +84,11 @@ def _sums(values: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
     return low + (high << np.uint64(32))
 
 
-def signatures(found: np.ndarray, join: Join) -> np.ndarray:
+def _label(band: int, seed: int) -> np.uint64:
+    return np.uint64(((band * (RESEEDS + 1) + seed) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
+
+
+def signatures(found: np.ndarray, join: Join, bands: list[int] | None = None, seed: int = 0) -> np.ndarray:
     """Signatures of a set: for each of its bands, one for each part that has shingles.
 
     A part both sets leave empty says nothing. Two linked sets can agree on empty parts alone only if every filled part of
@@ -92,71 +96,146 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     again under another split of the domain, and after ``RESEEDS`` splits for its empty parts too: no link is missed.
     """
     out = []
-    for b in join.bands(len(found)):
+    for b in join.bands(len(found)) if bands is None else bands:
         parts = join.parts(b)
-        for seed in range(RESEEDS + 1):
-            salted = symbols.mix(found + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        for again in range(seed, RESEEDS + 1):
+            salted = symbols.mix(found + np.uint64(again * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             part = ((salted >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             filled = np.bincount(part, minlength=parts) > 0
             sums = symbols.mix(_sums(salted, part, parts)) + np.arange(parts, dtype=np.uint64) * np.uint64(symbols.BASE)
-            label = np.uint64(((b * (RESEEDS + 1) + seed) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
-            out.append(symbols.mix((sums ^ label) if seed == RESEEDS else (sums ^ label)[filled]))
+            label = _label(b, again)
+            out.append(symbols.mix((sums ^ label) if again == RESEEDS else (sums ^ label)[filled]))
             if filled.sum() > join.difference(len(found)):
                 break
     return np.concatenate(out)
 
 
-def sets_of(piece: symbols.Texts, k: int) -> Iterator[np.ndarray]:
+def sets_of(piece: symbols.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts of a piece in one array, each sorted, and where each starts (one more than texts)."""
     found = symbols.words(piece)
     hashes = symbols.word_hashes(piece, found, lower=True)
-    for lo, hi in zip(found.starts[:-1], found.starts[1:]):
-        yield shingles(hashes[lo:hi], k)
+    at, text = symbols.window_starts(found.starts, k)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out = out * np.uint64(symbols.BASE) + hashes[at + j]
+    out = symbols.mix(out + np.uint64(k))
+    n = np.diff(found.starts)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        whole = np.array([shingles(hashes[found.starts[i]:found.starts[i + 1]], k)[0] for i in short], np.uint64)
+        order = np.argsort(np.concatenate((text, short)), kind="stable")
+        out, text = np.concatenate((out, whole))[order], np.concatenate((text, short))[order]
+    starts = np.searchsorted(text, np.arange(len(n) + 1))
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        out[lo:hi].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    return out[first], np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(n)))))
+
+
+def batch_signatures(values: np.ndarray, starts: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of many sets at once, and the set of each; the same values as ``signatures``."""
+    sizes = np.diff(starts)
+    plan = [(i, b) for i, s in enumerate(sizes.tolist()) if s for b in join.bands(s)]
+    if not plan:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sets, bands = np.array(plan, np.int64).T
+    parts = np.array([join.parts(b) for b in range(int(bands.max()) + 1)], np.int64)[bands]
+    offsets = np.concatenate(([0], np.cumsum(parts)))
+    n = sizes[sets]
+    row = np.repeat(np.arange(len(sets)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + starts[sets][row]
+    salted = symbols.mix(values)[at]
+    slot = offsets[row] + ((salted >> np.uint64(33)) % parts[row].astype(np.uint64)).astype(np.int64)
+    total = int(offsets[-1])
+    filled = np.bincount(slot, minlength=total) > 0
+    owner = np.repeat(np.arange(len(sets)), parts)
+    sums = symbols.mix(_sums(salted, slot, total)) + (np.arange(total) - offsets[owner]).astype(np.uint64) * np.uint64(symbols.BASE)
+    label = np.array([_label(b, 0) for b in range(int(bands.max()) + 1)], np.uint64)[bands]
+    made = symbols.mix(sums ^ label[owner])[filled]
+    who = sets[owner][filled]
+    some = np.bincount(owner[filled], minlength=len(sets))
+    again = [i for i in np.flatnonzero(some <= np.array([join.difference(s) for s in n.tolist()])).tolist()]
+    more = [signatures(values[starts[sets[i]]:starts[sets[i] + 1]], join, bands=[int(bands[i])], seed=1) for i in again]
+    return (np.concatenate([made, *more]), np.concatenate([who, *[np.full(len(m), sets[i]) for m, i in zip(more, again)]]))
+
+
+def nodes_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Identities of sets by content; equal sets are one node of the join."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols.mix(values))))
+    return symbols.mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64))
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the set's hashes in a power of two of bits, about two bits an element.
+
+    Two sets' sketches, folded to one length, differ in at most as many bits as the sets differ in elements.
+    """
+    bits = min(1 << 20, max(256, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def node_of(found: np.ndarray) -> np.uint64:
-    """Identity of a set by content; equal sets are one node of the join."""
-    with np.errstate(over="ignore"):
-        return symbols.mix(np.array([symbols.mix(found).sum() + np.uint64(len(found))], np.uint64))[0]
+def sketch_difference(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, n), 0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
 
 
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
-    """``(key, th, n_shingles, node)`` of every document; empty sets have no node."""
+    """``(key, th, n_shingles, node, sketch)`` of every document; empty sets have no node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
-            sizes, nodes = [], []
-            for found in sets_of(piece, join.words):
-                sizes.append(len(found))
-                nodes.append(int(node_of(found).view(np.int64)) if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [piece.rows.column("key"), piece.rows.column("th"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                ["key", "th", "n_shingles", "node"])
-    return docs.mapInArrow(run, "key long, th long, n_shingles long, node long")
+            values, starts = sets_of(piece, join.words)
+            n = np.diff(starts)
+            yield pa.RecordBatch.from_arrays([
+                piece.rows.column("key"), piece.rows.column("th"), pa.array(n),
+                pa.array(nodes_of(values, starts).view(np.int64), mask=n == 0),
+                pa.array([sketch(values[lo:hi]) if hi > lo else None for lo, hi in zip(starts[:-1], starts[1:])], pa.binary())],
+                ["key", "th", "n_shingles", "node", "sketch"])
+    return docs.mapInArrow(run, "key long, th long, n_shingles long, node long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, join: Join, share: int = 0, shares: int = 1) -> DataFrame:
-    """``(node, sig)`` of the signatures that fall into one of ``shares`` equal shares; a batch's equal sets sign once."""
+    """``(node, sig)`` of the signatures that fall into one of ``shares`` equal shares; equal sets of a piece sign once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
-            seen, nodes, signs = set(), [], []
-            for found in sets_of(piece, join.words):
-                if len(found) and (node := node_of(found)) not in seen:
-                    seen.add(node)
-                    made = signatures(found, join)
-                    signs.append(made[made % np.uint64(shares) == np.uint64(share)])
-                    nodes.append(np.full(len(signs[-1]), node, np.uint64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([symbols.longs(np.concatenate(nodes)), symbols.longs(np.concatenate(signs))], ["node", "sig"])
+            values, starts = sets_of(piece, join.words)
+            nodes = nodes_of(values, starts)
+            made, who = batch_signatures(values, starts, join)
+            first = np.zeros(len(nodes), bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            keep = first[who] & (made % np.uint64(shares) == np.uint64(share))
+            yield pa.RecordBatch.from_arrays([symbols.longs(nodes[who[keep]]), symbols.longs(made[keep])], ["node", "sig"])
     return docs.select("text").mapInArrow(run, "node long, sig long")
 
 
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """``pairs(u, v)`` without those that sizes or sketches rule out; nodes are (node, n_shingles, sketch)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+            most = (n + m) * (100 - join.percent) // (100 + join.percent)
+            keep = 100 * np.minimum(n, m) >= join.percent * np.maximum(n, m)
+            for i in np.flatnonzero(keep):
+                keep[i] = sketch_difference(batch.column("s_u")[i].as_py(), batch.column("s_v")[i].as_py()) <= most[i]
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+    named = lambda at: nodes.select(F.col("node").alias(at), F.col("n_shingles").alias(f"n_{at}"), F.col("sketch").alias(f"s_{at}"))
+    return pairs.join(named("u"), "u").join(named("v"), "v").mapInArrow(run, "u long, v long")
+
+
 def linked_pairs(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """Those of ``pairs(u, v)`` of nodes that link, compared exactly on the nodes' texts ``(node, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
+            for piece in symbols.pieces(iter([batch]), column):
+                values, starts = sets_of(piece, join.words)
+                yield from (values[lo:hi] for lo, hi in zip(starts[:-1], starts[1:]))
+
         for batch in batches:
-            one = (x for p in symbols.pieces(iter([batch]), "text_u") for x in sets_of(p, join.words))
-            two = (x for p in symbols.pieces(iter([batch]), "text_v") for x in sets_of(p, join.words))
             keep = []
-            for x, y in zip(one, two):
+            for x, y in zip(sets(batch, "text_u"), sets(batch, "text_v")):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= join.percent * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -180,26 +259,29 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         found.append(staged(signs.join(shared, "sig")))
     members = staged(reduce(DataFrame.unionByName, found).distinct())
     discard(*found)
+    sizes = staged(base.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"]))
+    base = base.drop("sketch")
     pairs = staged(members.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    likely = staged(likely_pairs(pairs, sizes, join))
+    tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nodes = members.select("node").distinct()
     first = base.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"), F.min_by("th", "key").alias("th"))
     texts = staged(docs.join(first, ["key", "th"]).select("node", "text").dropDuplicates(["node"]))
-    links = staged(linked_pairs(pairs, texts, join))
+    links = staged(linked_pairs(likely, texts, join))
     groups = components(links)
     at = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     split = at.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
     open_ = staged(at.join(split, "sig"))
     across = open_.alias("x").join(open_.alias("y"), "sig").where("x.node < y.node and x.c != y.c").select(
         F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = staged(linked_pairs(across.join(tested, ["u", "v"], "left_anti"), texts, join))
+    more = staged(linked_pairs(likely_pairs(across.join(tested, ["u", "v"], "left_anti"), sizes, join), texts, join))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     groups = staged(groups)
     named = base.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     least = named.where("node is not null").groupBy("c").agg(F.min("key").alias("component"))
     out = named.join(least, "c", "left").select("key", "th", "n_shingles", F.coalesce("component", "key").alias("component"))
-    discard(members, pairs, texts, links, open_, more)
+    discard(members, pairs, sizes, likely, texts, links, open_, more)
     return out
 
 
