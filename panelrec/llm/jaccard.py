@@ -14,6 +14,7 @@ from functools import reduce
 from math import ceil, floor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from panelrec.llm import symbols
 from panelrec.llm.common import NO_ID, components, discard, keyed, order_key, staged
 
 RESEEDS = 6
+CROWD = 32
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -133,12 +136,16 @@ def sets_of(piece: symbols.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[first], np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(n)))))
 
 
-def batch_signatures(values: np.ndarray, starts: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of many sets at once, and the set of each; the same values as ``signatures``."""
+def batch_signatures(values: np.ndarray, starts: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of many sets at once, the set of each, and each set's margin; the same values as ``signatures``.
+
+    A set's margin is the least number of signatures that it shares with any set it links with, over its bands: its
+    filled parts less its largest difference.
+    """
     sizes = np.diff(starts)
     plan = [(i, b) for i, s in enumerate(sizes.tolist()) if s for b in join.bands(s)]
     if not plan:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
     sets, bands = np.array(plan, np.int64).T
     parts = np.array([join.parts(b) for b in range(int(bands.max()) + 1)], np.int64)[bands]
     offsets = np.concatenate(([0], np.cumsum(parts)))
@@ -155,9 +162,12 @@ def batch_signatures(values: np.ndarray, starts: np.ndarray, join: Join) -> tupl
     made = symbols.mix(sums ^ label[owner])[filled]
     who = sets[owner][filled]
     some = np.bincount(owner[filled], minlength=len(sets))
-    again = [i for i in np.flatnonzero(some <= np.array([join.difference(s) for s in n.tolist()])).tolist()]
+    spare = some - np.array([join.difference(s) for s in n.tolist()])
+    margin = np.full(len(sizes), 1 << 40, np.int64)
+    np.minimum.at(margin, sets, spare)
+    again = np.flatnonzero(spare <= 0).tolist()
     more = [signatures(values[starts[sets[i]]:starts[sets[i] + 1]], join, bands=[int(bands[i])], seed=1) for i in again]
-    return (np.concatenate([made, *more]), np.concatenate([who, *[np.full(len(m), sets[i]) for m, i in zip(more, again)]]))
+    return (np.concatenate([made, *more]), np.concatenate([who, *[np.full(len(m), sets[i]) for m, i in zip(more, again)]]), margin)
 
 
 def nodes_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -184,17 +194,18 @@ def sketch_difference(x: bytes, y: bytes) -> int:
 
 
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
-    """``(key, th, n_shingles, node, sketch)`` of every document; empty sets have no node."""
+    """``(key, th, n_shingles, margin, node, sketch)`` of every document; empty sets have no node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
             values, starts = sets_of(piece, join.words)
             n = np.diff(starts)
+            margin = batch_signatures(values, starts, join)[2]
             yield pa.RecordBatch.from_arrays([
-                piece.rows.column("key"), piece.rows.column("th"), pa.array(n),
+                piece.rows.column("key"), piece.rows.column("th"), pa.array(n), pa.array(margin),
                 pa.array(nodes_of(values, starts).view(np.int64), mask=n == 0),
                 pa.array([sketch(values[lo:hi]) if hi > lo else None for lo, hi in zip(starts[:-1], starts[1:])], pa.binary())],
-                ["key", "th", "n_shingles", "node", "sketch"])
-    return docs.mapInArrow(run, "key long, th long, n_shingles long, node long, sketch binary")
+                ["key", "th", "n_shingles", "margin", "node", "sketch"])
+    return docs.mapInArrow(run, "key long, th long, n_shingles long, margin long, node long, sketch binary")
 
 
 def signature_rows(docs: DataFrame, join: Join, share: int = 0, shares: int = 1) -> DataFrame:
@@ -203,7 +214,7 @@ def signature_rows(docs: DataFrame, join: Join, share: int = 0, shares: int = 1)
         for piece in symbols.pieces(batches):
             values, starts = sets_of(piece, join.words)
             nodes = nodes_of(values, starts)
-            made, who = batch_signatures(values, starts, join)
+            made, who, _ = batch_signatures(values, starts, join)
             first = np.zeros(len(nodes), bool)
             first[np.unique(nodes, return_index=True)[1]] = True
             keep = first[who] & (made % np.uint64(shares) == np.uint64(share))
@@ -243,25 +254,62 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return pairs.join(named("u"), "u").join(named("v"), "v").mapInArrow(run, "u long, v long")
 
 
+def unresolved_pairs(members: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """Pairs ``(u, v)`` of members ``(sig, node, c)`` of one signature and different components that may still link.
+
+    Signatures of at most ``CROWD`` members give all their pairs. A pair that shares only crowded signatures
+    shares at least its margin of them, so both of its nodes have that many; such nodes are compared inside
+    crowded signatures, block by block, by size and sketch, and only pairs that pass are written.
+    """
+    load = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
+    sized = staged(members.join(load, "sig"))
+    few = sized.where(F.col("g") <= CROWD).select("sig", "node", "c")
+    small = few.alias("x").join(few.alias("y"), "sig").where("x.node < y.node and x.c != y.c").select(
+        F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    many = sized.where(F.col("g") > CROWD).drop("g")
+    deep = many.groupBy("node").agg(F.count(F.lit(1)).alias("h")).join(nodes, "node").where("h >= margin").drop("h", "margin")
+    left = staged(many.join(deep.select("node"), "node"))
+    blocks = left.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    dealt = left.join(blocks.select("sig", "m"), "sig").withColumn("b", F.pmod("node", "m").cast("int")).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("sig", "node", "c", F.least("b", "t").alias("i"), F.greatest("b", "t").alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        n, c, node = (frame[x].to_numpy() for x in ("n_shingles", "c", "node"))
+        bits = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 4), 0) for x in frame["sketch"]])
+        apart = np.zeros((len(n), len(n)), np.int64)
+        for w in range(4):
+            apart += np.bitwise_count(bits[:, None, w] ^ bits[None, :, w])
+        most = (n[:, None] + n[None]) * (100 - join.percent) // (100 + join.percent)
+        near = (apart <= most) & (100 * np.minimum(n[:, None], n[None]) >= join.percent * np.maximum(n[:, None], n[None]))
+        u, v = np.nonzero(near & (c[:, None] != c[None]) & (node[:, None] < node[None]))
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    large = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").groupBy("sig", "i", "j").applyInPandas(compare, "u long, v long")
+    return small.unionByName(large).distinct()
+
+
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``(key, th, n_shingles, component)`` of every document (key, th, text).
 
     The component is the smallest key reachable by links, own key where there is none. Equal sets link without being
-    paired. Each signature's members are first compared with its smallest node; where links leave members of one
-    signature in different components, all pairs across components are compared, so no link that joins two
-    components is lost. A null or empty text has an empty set and stays alone; rows without an id come last.
+    paired. Each signature's members are first compared with its member that meets most others; where links leave members of
+    one signature in different components, the pairs across components are compared (``unresolved_pairs``), so no
+    link that joins two components is lost. A null or empty text has an empty set and stays alone; rows without an id come last.
     """
     base = staged(set_rows(docs, join))
     found = []
     for share in range(join.shares):  # one share of the signatures at a time is in shuffle files
         signs = signature_rows(docs, join, share, join.shares)
-        shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+        shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("sig")
         found.append(staged(signs.join(shared, "sig")))
     members = staged(reduce(DataFrame.unionByName, found).distinct())
     discard(*found)
-    sizes = staged(base.where("node is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"]))
-    base = base.drop("sketch")
-    pairs = staged(members.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    sizes = staged(base.where("node is not null").select("node", "n_shingles", "margin", "sketch").dropDuplicates(["node"]))
+    base = base.drop("sketch", "margin")
+    crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
+    degree = members.join(crowd, "sig").groupBy("node").agg(F.sum("g").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("top")).select("sig", F.col("top.node").alias("hub"))
+    pairs = staged(members.join(hubs, "sig").where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     likely = staged(likely_pairs(pairs, sizes, join))
     tested = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nodes = members.select("node").distinct()
@@ -272,8 +320,7 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     at = members.join(groups, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     split = at.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
     open_ = staged(at.join(split, "sig"))
-    across = open_.alias("x").join(open_.alias("y"), "sig").where("x.node < y.node and x.c != y.c").select(
-        F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    across = unresolved_pairs(open_, sizes, join)
     more = staged(linked_pairs(likely_pairs(across.join(tested, ["u", "v"], "left_anti"), sizes, join), texts, join))
     if more.limit(1).count():
         groups = components(links.unionByName(more))
