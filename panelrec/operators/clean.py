@@ -38,12 +38,16 @@ def group_medians(df: DataFrame, group: str, value: str, mode: str = "exact") ->
     return group_quantiles(df, [group], value, {"median": 0.5})
 
 
-def impute_by_group(df: DataFrame, value: str, group: str, medians: DataFrame | None = None) -> DataFrame:
-    """Fill ``value`` with its group's median, else with the overall median."""
+def impute_by_group(
+    df: DataFrame, value: str, group: str, medians: DataFrame | None = None, overall: float | None = None
+) -> DataFrame:
+    """Fill ``value`` with its group's median, else with the overall median.
+
+    Fitted ``medians`` come with the ``overall`` median of the same fit; without it a group the fit has not seen
+    keeps its nulls, so nothing is taken from the rows that are served.
+    """
     if medians is None:
         medians, overall = medians_and_overall(df, group, value)
-    else:
-        overall = group_quantiles(df, [], value, {"m": 0.5}).first()[0]
     filled = join_lookup(df, medians.withColumnRenamed("median", "_median"), [group])
     best = F.coalesce(
         F.col(value).cast("double"), F.col("_median"), F.lit(overall).cast("double")
@@ -104,16 +108,23 @@ def cap_categories(
 ) -> DataFrame:
     """Keep the fitted top values of each column, ``other`` for the rest.
 
-    ``fill`` columns get UNKNOWN for null. The top lists are of fixed length, so
-    they are carried as literals.
+    ``fill`` columns get UNKNOWN for null. Short top lists are carried as literals, longer ones are joined.
     """
     out = {}
-    for column, top in tops.items():
-        keep = [r[0] for r in bounded_table(top.select(column), 10_000).collect()]
-        out[column] = F.when(F.col(column).isin(keep), F.col(column)).otherwise(F.lit(other))
+    names = df.columns
+    for i, (column, top) in enumerate(tops.items()):
+        short = bounded_table(top.select(column), 10_000)
+        if short is not None:
+            found = F.col(column).isin([r[0] for r in short.collect()])
+        else:
+            mark = f"_top{i}"
+            known = top.where(F.col(column).isNotNull()).select(column).distinct().withColumn(mark, F.lit(True))
+            df = join_lookup(df, known, [column])
+            found = F.coalesce(F.col(mark), F.lit(False))
+        out[column] = F.when(found, F.col(column)).otherwise(F.lit(other))
     for column in fill:
         out[column] = F.coalesce(F.col(column), F.lit("UNKNOWN"))
-    return df.select(*[out.get(c, F.col(c)).alias(c) for c in df.columns])
+    return df.select(*[out.get(c, F.col(c)).alias(c) for c in names])
 
 
 def point_lookup(df: DataFrame, key: str, value) -> DataFrame:

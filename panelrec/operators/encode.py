@@ -244,12 +244,10 @@ def fit_power(df: DataFrame, columns: Sequence[str], low: float = -3.0, high: fl
 
 
 def scale_power(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
-    """Yeo-Johnson with fitted powers, then standardised."""
+    """Yeo-Johnson with fitted powers, then standardised by the fitted rows."""
     powers = {r["column"]: r["power"] for r in fit_power(fit if fit is not None else df, columns).collect()}
-    moved = _each(df, {
-        c: yeo_johnson(F.col(c).cast("double"), F.lit(float(p))) for c, p in powers.items()
-    })
-    return scale_standard(moved, list(powers))
+    moved = {c: yeo_johnson(F.col(c).cast("double"), F.lit(float(p))) for c, p in powers.items()}
+    return scale_standard(_each(df, moved), list(powers), _each(fit, moved) if fit is not None else None)
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:

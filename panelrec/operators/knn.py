@@ -39,19 +39,27 @@ def _blocks(context: DataFrame, key: str, vector: str, block_rows: int) -> Itera
 def _nearest(queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, own: np.ndarray | None):
     """Yield per query the ids and exact scores of its k best rows, ties by id.
 
-    The product ranks roughly; every row within rounding of the k-th is scored again.
+    The product ranks roughly, for ``l2`` around the block's mean, so that a common offset cancels before
+    squaring; every row within rounding of the k-th, measured by the norms that went into the product, is scored again.
     """
-    product = queries @ matrix.T
     if metric == "l2":
-        rough = (queries**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2.0 * product
+        middle = matrix.mean(0)
+        left, right = queries - middle, matrix - middle
+        a, b = (left**2).sum(1), (right**2).sum(1)
+        rough = a[:, None] + b[None, :] - 2.0 * (left @ right.T)
+        # centring itself rounds by the size of the original coordinates
+        shift = np.abs(middle).max() * np.sqrt(matrix.shape[1])
+        scale = a + b.max() + shift * (np.sqrt(a) + np.sqrt(b.max()))
     else:
-        rough = -product
+        rough = -(queries @ matrix.T)
+        scale = np.sqrt((queries**2).sum(1)) * np.sqrt((matrix**2).sum(1).max())
+    slack = 8.0 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * scale
     if own is not None:
         rough = np.where(own[:, None] == ids[None, :], np.inf, rough)
     kth = min(k, rough.shape[1]) - 1
     limit = np.partition(rough, kth, axis=1)[:, kth]
     for i, query in enumerate(queries):
-        near = np.flatnonzero(rough[i] <= limit[i] + 1e-9 * max(1.0, abs(limit[i])))
+        near = np.flatnonzero(rough[i] <= limit[i] + 2.0 * slack[i])
         near = near[np.isfinite(rough[i][near])]
         if metric == "l2":
             score = ((matrix[near] - query) ** 2).sum(1)

@@ -37,6 +37,9 @@ CM_SPEC = PanelSpec(
     drop=("total", "seg", "income", "income_pos", "join_date"),
 )
 
+#: Batches of the store are open-ended.
+LAST_DAY = "9999-12-31"
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{table}.parquet"))
@@ -191,11 +194,11 @@ def store_first(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Users seen after the first day: the update batch."""
-    return day_vectors(spark, sf, "2024-01-02", "2024-12-31")
+    return day_vectors(spark, sf, "2024-01-02", LAST_DAY)
 
 
 def store_all(spark: SparkSession, sf: str) -> DataFrame:
-    return day_vectors(spark, sf, "2024-01-01", "2024-12-31")
+    return day_vectors(spark, sf, "2024-01-01", LAST_DAY)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,8 +323,8 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from (select *, ({ranked_sql('probs')})[1] as cand, {unheld_sql(ranked_sql('probs'))} as base,
           list_max(probs[2:16]) / greatest(probs[1], 1e-8) as ratio from actions)))"""),
     "store_first": (("panel_ud",), _day_sql("2024-01-01", "2024-01-01")),
-    "store_batch": (("panel_ud",), _day_sql("2024-01-02", "2024-12-31")),
-    "store_all": (("panel_ud",), _day_sql("2024-01-01", "2024-12-31")),
+    "store_batch": (("panel_ud",), _day_sql("2024-01-02", LAST_DAY)),
+    "store_all": (("panel_ud",), _day_sql("2024-01-01", LAST_DAY)),
     "results": ((), """select p_type as suite, p_brand as name, p_size % 5 as fold,
         avg(p_retailprice) / 2000.0 as metric from part group by 1, 2, 3"""),
 }

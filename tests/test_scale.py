@@ -168,3 +168,35 @@ def test_nearest_with_copies(spark, metric, block):
         score = ((points - p) ** 2).sum(1) if metric == "l2" else -(points * p).sum(1)
         want = [j for j in sorted(range(120), key=lambda j: (score[j], j)) if j != i][:7]
         assert [got[i][k] for k in range(7)] == want
+
+
+def test_nearest_rows_around_a_large_offset(spark):
+    import numpy as np
+
+    from panelrec.operators.knn import nearest
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 6)) + 1e7
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id long, vector array<double>")
+    got = {}
+    for r in nearest(df, df, 3, exclude_self=True).collect():
+        got.setdefault(r.row_id, {})[r["rank"]] = r.context_id
+    for i in range(120):
+        far = ((x - x[i]) ** 2).sum(1)
+        far[i] = np.inf
+        assert [got[i][k] for k in sorted(got[i])] == np.argsort(far, kind="stable")[:3].tolist()
+
+
+def test_long_top_lists_and_fitted_transforms(spark):
+    from panelrec.operators.clean import cap_categories, impute_by_group
+    from panelrec.operators.encode import scale_power
+
+    top = spark.range(15_000).selectExpr("cast(id as string) as c")
+    got = cap_categories(spark.createDataFrame([("7",), ("14999",), ("x",), (None,)], "c string"), {"c": top})
+    assert sorted(r.c for r in got.collect()) == ["14999", "7", "OTHER", "OTHER"]
+    served = spark.createDataFrame([("new", None), ("new", 5.0)], "g string, v double")
+    medians = spark.createDataFrame([("old", 1.0)], "g string, median double")
+    assert sorted(r.v for r in impute_by_group(served, "v", "g", medians, 2.0).collect()) == [2.0, 5.0]
+    fit = spark.range(100).selectExpr("cast(id as double) as v")
+    moved = scale_power(spark.createDataFrame([(1000.0,), (1002.0,)], "v double"), ["v"], fit)
+    assert min(r.v for r in moved.collect()) > 1
