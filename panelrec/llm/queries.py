@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelrec.llm import chat, debruijn, jaccard, mixing, packing, quality, shards, substrings, toxicity, vectors
 from panelrec.llm.common import read
+from panelrec.llm.twins import TWINS  # noqa: F401  registered beside the queries
 
 SHARDS = 24
 APART = (("src1", "src2"),)
@@ -69,4 +70,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_embedding_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join,
     op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding)}
-TWINS: dict[str, str] = {}
