@@ -62,7 +62,10 @@ def path_rows(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, p, j, w)``: the j-th window hash of each wanted path; docs carry ``want``, an array of (start, n, a, p)."""
+    """``(a, p, j, w, low, copies)``: the j-th window hash of each wanted path, with the path's counts.
+
+    docs carry ``want``, an array of (start, n, a, p, copies); the document's key is the path's least key.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in symbols.pieces(batches):
             values, starts = symbols.units(piece, rule.unit)
@@ -77,9 +80,10 @@ def window_rows(docs: DataFrame, rule: Rule) -> DataFrame:
             take = pa.array(path)
             hashes = symbols.span_hash(sums, at, at + rule.length)
             yield pa.RecordBatch.from_arrays(
-                [each.field("a").take(take), each.field("p").take(take), pa.array(j.astype(np.int32)), symbols.longs(hashes)],
-                ["a", "p", "j", "w"])
-    return docs.mapInArrow(run, "a long, p long, j int, w long")
+                [each.field("a").take(take), each.field("p").take(take), pa.array(j.astype(np.int32)), symbols.longs(hashes),
+                 piece.rows.column("key").take(pa.array(text[path])), each.field("copies").take(take)],
+                ["a", "p", "j", "w", "low", "copies"])
+    return docs.mapInArrow(run, "a long, p long, j int, w long, low long, copies long")
 
 
 def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -98,13 +102,13 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
     paths = staged(mixed.groupBy("a", "p").agg(
         F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
     # one place where each distinct path can be read: in its first document
-    places = mixed.select("a", "p", "key", "th", "start", "n").join(paths.select("a", "p", "low"), ["a", "p"]).where("key = low")
-    first = places.groupBy("a", "p", "n").agg(F.min("key").alias("key"), F.min("th").alias("th0")).join(
-        places.select("a", "p", F.col("th").alias("th0"), "start"), ["a", "p", "th0"]).groupBy("a", "p", "n", "key", "th0").agg(
+    places = mixed.select("a", "p", "key", "th", "start", "n").join(paths.select("a", "p", "low", "copies"), ["a", "p"]).where("key = low")
+    first = places.groupBy("a", "p", "n", "copies").agg(F.min("key").alias("key"), F.min("th").alias("th0")).join(
+        places.select("a", "p", F.col("th").alias("th0"), "start"), ["a", "p", "th0"]).groupBy("a", "p", "n", "copies", "key", "th0").agg(
         F.min("start").alias("start"))
-    wanted = first.groupBy("key", F.col("th0").alias("th")).agg(F.collect_list(F.struct("start", "n", "a", "p")).alias("want"))
-    opened = window_rows(docs.join(wanted, ["key", "th"]), rule)
-    counted = opened.join(paths.select("a", "p", "low", "copies"), ["a", "p"])
+    wanted = first.groupBy("key", F.col("th0").alias("th")).agg(F.collect_list(F.struct("start", "n", "a", "p", "copies")).alias("want"))
+    # each window carries its path's counts, so that no join back to the paths moves all windows once more
+    counted = window_rows(docs.join(wanted, ["key", "th"]), rule)
     sums = counted.groupBy("a", "w").agg(F.min("low").alias("w_low"), F.sum("copies").alias("w_copies"))
     better = "w_low < low" if rule.earlier else "w_copies > 1 and copies = 1"
     opens = staged(counted.join(sums, ["a", "w"]).where(better).groupBy("a", "p").agg(
