@@ -32,10 +32,18 @@ def iqm(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def pivot_fill(df: DataFrame, row: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
-    """One column per name; a missing cell gets its row's mean."""
+    """One column per name; a missing cell gets its row's mean.
+
+    Cells are added as decimals of 12 places, so that the mean does not depend on their order; rows with a cell
+    that has no such decimal (not finite, or 1e16 and more) are added as doubles.
+    """
     wide = df.groupBy(row).pivot(column, list(names)).agg(F.avg(value))
-    cells = F.array_compact(F.array(*[F.col(f"`{n}`") for n in names]))
-    mean = F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x) / F.size(cells)
+    cells = F.array_compact(F.array(*[F.col(f"`{n}`").cast("double") for n in names]))
+    exact = F.aggregate(
+        cells, F.lit(0).cast("decimal(38,12)"), lambda acc, x: (acc + x.try_cast("decimal(28,12)")).cast("decimal(38,12)")
+    )
+    plain = F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x)
+    mean = F.coalesce(exact.cast("double"), plain) / F.size(cells)
     filled = wide.withColumn("_mean", F.when(F.size(cells) > 0, mean))
     return filled.select(row, *[F.coalesce(F.col(f"`{n}`"), F.col("_mean")).alias(n) for n in names])
 

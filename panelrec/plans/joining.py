@@ -160,7 +160,7 @@ _brands = [f"Brand#{i}" for i in range(1, 26)]
 
 @query("pivot_fill", with_views("results", "select suite_fold, " + ", ".join(
     f"round(coalesce(\"{b}\", rm), 6) as \"{b}\"" for b in _brands) + """ from (select suite || '/' || cast(fold as varchar) as suite_fold, """ + ", ".join(
-    f"avg(metric) filter (name = '{b}') as \"{b}\"" for b in _brands) + ", (select avg(m) from (select avg(r2.metric) as m from results r2 where r2.suite = results.suite and r2.fold = results.fold and r2.name in (" + ", ".join(
+    f"avg(metric) filter (name = '{b}') as \"{b}\"" for b in _brands) + ", (select cast(sum(cast(m as decimal(28,12))) as double) / count(m) from (select avg(r2.metric) as m from results r2 where r2.suite = results.suite and r2.fold = results.fold and r2.name in (" + ", ".join(
     f"'{b}'" for b in _brands) + ") group by r2.name)) as rm from results group by suite, fold)"))
 def pivot_fill(spark, sf):
     t = V.results(spark, sf).withColumn("suite_fold", F.concat_ws("/", "suite", F.col("fold").cast("string")))

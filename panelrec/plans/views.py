@@ -206,7 +206,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     return (
         read(spark, sf, "part")
         .groupBy(F.col("p_type").alias("suite"), F.col("p_brand").alias("name"), F.pmod("p_size", F.lit(5)).alias("fold"))
-        .agg((F.avg("p_retailprice") / 2000.0).alias("metric"))
+        .agg((F.sum(F.col("p_retailprice").cast("decimal(15,2)")).cast("double") / F.count("p_retailprice") / 2000.0).alias("metric"))
     )
 
 
@@ -326,7 +326,8 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "store_batch": (("panel_ud",), _day_sql("2024-01-02", LAST_DAY)),
     "store_all": (("panel_ud",), _day_sql("2024-01-01", LAST_DAY)),
     "results": ((), """select p_type as suite, p_brand as name, p_size % 5 as fold,
-        avg(p_retailprice) / 2000.0 as metric from part group by 1, 2, 3"""),
+        cast(sum(cast(p_retailprice as decimal(15,2))) as double) / count(p_retailprice) / 2000.0 as metric
+        from part group by 1, 2, 3"""),
 }
 
 

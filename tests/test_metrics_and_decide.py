@@ -334,3 +334,9 @@ def test_reports(spark):
     assert got["low"] <= got["mean"] <= got["high"] and 1 < got["mean"] < 6
     wide = R.pivot_fill(spark.createDataFrame([("r", "a", 1.0), ("r", "b", 3.0), ("q", "a", 5.0)], "r string, n string, v double"), "r", "n", "v", ["a", "b", "c"])
     assert sorted(map(tuple, wide.collect())) == [("q", 5.0, 5.0, 5.0), ("r", 1.0, 3.0, 2.0)]
+
+
+def test_pivot_fill_means_do_not_depend_on_the_order_of_cells(spark):
+    rows = [("r", "a", 0.1), ("r", "b", 0.2), ("r", "c", 0.3), ("q", "a", 0.3), ("q", "b", 0.1), ("q", "c", 0.2), ("h", "a", 1e20), ("h", "b", 2e20)]
+    wide = R.pivot_fill(spark.createDataFrame(rows, "r string, n string, v double"), "r", "n", "v", ["a", "b", "c", "d"])
+    assert {r["r"]: r["d"] for r in wide.collect()} == {"r": 0.6 / 3, "q": 0.6 / 3, "h": 1.5e20}
