@@ -18,10 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelrec.llm import symbols
-from panelrec.llm.common import NO_ID, components, discard, keyed, order_key, staged
+from panelrec.llm.common import NO_ID, WORD, components, discard, keyed, order_key, staged
 
 RESEEDS = 6
 CROWD = 32
@@ -289,10 +288,10 @@ def unresolved_pairs(members: DataFrame, nodes: DataFrame, join: Join) -> DataFr
 
 
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``(key, th, n_shingles, component)`` of every document (key, th, text).
+    """``(key, th, n_shingles, component, linked)`` of every document (key, th, text).
 
-    The component is the smallest key reachable by links, own key where there is none. Equal sets link without being
-    paired. Each signature's members are first compared with its member that meets most others; where links leave members of
+    The component is the smallest key reachable by links, own key where there is none; keys may repeat, so ``linked``
+    names the component by its smallest node (null for an empty set). Equal sets link without being paired. Each signature's members are first compared with its member that meets most others; where links leave members of
     one signature in different components, the pairs across components are compared (``unresolved_pairs``), so no
     link that joins two components is lost. A null or empty text has an empty set and stays alone; rows without an id come last.
     """
@@ -327,7 +326,8 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     groups = staged(groups)
     named = base.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     least = named.where("node is not null").groupBy("c").agg(F.min("key").alias("component"))
-    out = named.join(least, "c", "left").select("key", "th", "n_shingles", F.coalesce("component", "key").alias("component"))
+    out = named.join(least, "c", "left").select(
+        "key", "th", "n_shingles", F.coalesce("component", "key").alias("component"), F.col("c").alias("linked"))
     discard(members, pairs, sizes, likely, texts, links, open_, more)
     return out
 
@@ -340,15 +340,14 @@ def digests(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def representatives(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents that stay: of each component the row with the smallest id, all columns as they are.
+    """The documents that stay: of each group of linked or equal texts the row with the smallest id, all columns as they are.
 
-    Of repeated rows with that id one stays (the smallest text hash, then any of equal rows); texts without words
-    stay all.
+    Of rows with that id the smallest text hash stays, then any of equal rows. Different unlinked texts stay all,
+    also where they share an id or have none; texts without words stay all.
     """
-    found = classes(keyed(docs), join).where("n_shingles = 0 or key = component").select(
-        F.col("key").alias("__key"), F.col("th").alias("__th"), (F.col("n_shingles") == 0).alias("__empty")).distinct()
-    marked = docs.withColumn("__key", order_key()).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(found, ["__key", "__th"])
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__th"))
-    full = kept.where("not __empty").withColumn("__n", rank).where("__n = 1").drop("__n")
-    return full.unionByName(kept.where("__empty")).select(*docs.columns)
+    least = classes(keyed(docs), join).where("linked is not null").groupBy("linked").agg(F.min(F.struct("key", "th")).alias("m"))
+    found = least.select(F.col("m.key").alias("__key"), F.col("m.th").alias("__th"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn("__key", order_key()).withColumn("__th", F.xxhash64(text))
+    full = marked.where(text.rlike(WORD)).groupBy("__key", "__th").agg(F.first(F.struct(*docs.columns)).alias("__row"))
+    return full.join(found, ["__key", "__th"]).select("__row.*").unionByName(docs.where(~text.rlike(WORD)))
