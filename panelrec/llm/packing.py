@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed capacity.
 
-Documents are dealt by a hash of their id into groups of bounded size; each group is packed by best-fit decreasing.
+Documents are dealt by a hash of their id, repeated rows also by the number of the repeat, into groups of bounded
+size; each group is packed by best-fit decreasing.
 A bin carries a bitmap of its sources and the set of its duplicate clusters: two documents of one cluster, or of two
 sources that must stay apart, never share a bin. For each document the search goes through the bins in order of what
 is left in them, from the tightest that holds the document, until one is compatible.
@@ -17,6 +18,7 @@ from panelrec.llm.common import SPACE, order_key
 
 CAPACITY = 4096
 ROWS_PER_GROUP = 8_000
+COPIES_TOGETHER = 64
 
 
 def cluster_of():
@@ -74,11 +76,16 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, apart: tuple[tuple[str, st
     narrow = docs.select(
         "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"),
         F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("cluster").cast("long").alias("cluster"), order_key().alias("key"))
-    # repeated rows of one id are dealt by a random draw as well, so that they cannot fill one group
-    narrow = narrow.withColumn("g", F.pmod(F.xxhash64("key", "size", "cluster"), F.lit(groups)).cast("int"))
+    # equal rows are counted and dealt a few at a time, so that they cannot fill one group; the count does not depend on order
+    few = min(COPIES_TOGETHER, max(1, rows_per_group // 8))
+    equal = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("n"))
+    dealt = equal.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {few})"))).withColumn(
+        "copies", F.least(F.lit(few), F.col("n") - F.col("part") * few))
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "size", "cluster", "source", "part"), F.lit(groups)).cast("int")).drop("n", "part")
     pairs = tuple(tuple(p) for p in apart)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.loc[frame.index.repeat(frame["copies"])]
         frame = frame.sort_values(["key", "source", "size", "cluster"], kind="stable").reset_index(drop=True)
         size = frame["size"].to_numpy(np.int64)
         full = np.where(size > capacity, (size - 1) // capacity, 0)
@@ -107,4 +114,4 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, apart: tuple[tuple[str, st
         out["bin_id"] = f"{group}-" + out["bin"].astype(str)
         return out[["doc_id", "piece", "first_word", "n_words", "bin_id"]]
 
-    return narrow.groupBy("g").applyInPandas(run, "doc_id long, piece long, first_word long, n_words long, bin_id string")
+    return dealt.groupBy("g").applyInPandas(run, "doc_id long, piece long, first_word long, n_words long, bin_id string")
