@@ -26,6 +26,7 @@ SAMPLE_PER_CLASS = 20_000
 PRIOR_COUNT = 10.0
 DRIFT = 0.5
 E_LIMIT = 0.05
+REPEAT_WITHIN = 256
 _OUTSIDE = np.array([not (chr(i).isalnum() if i < 128 else True) for i in range(256)])
 
 
@@ -45,12 +46,39 @@ def buckets(piece: symbols.Texts) -> tuple[np.ndarray, symbols.Words]:
 
 
 def values_of(piece: symbols.Texts, table: np.ndarray) -> tuple[np.ndarray, symbols.Words]:
-    """Token scores of a piece in text order; a token that its text has said before adds no evidence, only drift."""
+    """Token scores of a piece in text order; a repeat of a token close by in one rise adds no evidence (``damped``)."""
     at, spans = buckets(piece)
-    text = np.repeat(np.arange(piece.rows.num_rows), np.diff(spans.starts))
-    first = np.zeros(len(at), bool)
-    first[np.unique(text * BUCKETS + at, return_index=True)[1]] = True
-    return np.where(first, table[at], np.minimum(table[at], -DRIFT)), spans
+    values = table[at]
+    up = np.flatnonzero(values > 0)
+    text = np.repeat(np.arange(piece.rows.num_rows), np.diff(spans.starts))[up]
+    key = text * BUCKETS + at[up]
+    order = np.argsort(key, kind="stable")
+    again = (np.diff(key[order]) == 0) & (np.diff(up[order]) <= REPEAT_WITHIN)
+    for i in np.unique(text[order[1:][again]]).tolist():
+        lo, hi = spans.starts[i], spans.starts[i + 1]
+        values[lo:hi] = damped(values[lo:hi], at[lo:hi])
+    return values, spans
+
+
+def damped(scores: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Scores of one text where a token said again at most ``REPEAT_WITHIN`` tokens later in the same rise adds only drift.
+
+    A rise is a stretch over which the sum of scores stays above its start. When it has fallen back, every token counts
+    in full again, so neither a stray mention nor an earlier passage takes evidence from a later one.
+    """
+    out = scores.copy()
+    up = np.flatnonzero(scores > 0)
+    falls = np.diff(np.concatenate(([0.0], np.cumsum(np.minimum(scores, 0.0))))[up], prepend=0.0)
+    level, said = 0.0, {}
+    for i, token, score, fall in zip(up.tolist(), tokens[up].tolist(), scores[up].tolist(), falls.tolist()):
+        level += fall
+        if level <= 0:
+            level, said = 0.0, {}
+        if i - said.get(token, -1 - REPEAT_WITHIN) <= REPEAT_WITHIN:
+            out[i] = score = -DRIFT
+        said[token] = i
+        level += score
+    return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
