@@ -76,21 +76,22 @@ def codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def fit_grid(sample: np.ndarray, n: int, cosine: float, recall: float) -> Grid:
     """Codebooks of about sqrt(n / ROWS_PER_CELL) codes a half, and the visits that reach ``recall``.
 
-    Visits are counted on vectors of the sample against neighbours at similarities spread over [cosine, 1], made by
-    turning them in random directions, and against their true neighbours in the sample.
+    Visits are counted on vectors of the sample against neighbours at the least similarity that links, made by turning
+    them in random directions, and against their true neighbours in the sample. Nearer pairs are met more often. The
+    codebooks do not learn from those vectors, which would lie nearer to their codes than others do.
     """
     unit = unit_rows(sample)
-    k = int(min(MOST_CODES, len(unit), max(1, round((n / ROWS_PER_CELL) ** 0.5))))
+    asked = np.linspace(0, len(unit) - 1, min(QUERIES, max(1, len(unit) // 5))).astype(int)
+    q, learn = unit[asked], np.delete(unit, asked, 0) if len(unit) > 1 else unit
+    k = int(min(MOST_CODES, len(learn), max(1, round((n / ROWS_PER_CELL) ** 0.5))))
     cut = max(1, unit.shape[1] // 2)
-    second = unit[:, cut:] if unit.shape[1] > 1 else np.zeros((len(unit), 1))
-    grid = Grid(codebook(unit[:, :cut], k), codebook(second, k) if unit.shape[1] > 1 else np.zeros((1, 0)), 1)
+    second = learn[:, cut:] if unit.shape[1] > 1 else np.zeros((len(learn), 1))
+    grid = Grid(codebook(learn[:, :cut], k), codebook(second, k) if unit.shape[1] > 1 else np.zeros((1, 0)), 1)
     rng = np.random.default_rng(5)
-    q = unit[np.linspace(0, len(unit) - 1, min(QUERIES, len(unit))).astype(int)]
     turn = rng.normal(size=q.shape)
     turn -= (turn * q).sum(1, keepdims=True) * q
     turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
-    c = rng.uniform(cosine, 1, len(q))[:, None]
-    near = c * q + np.sqrt(1 - c * c) * turn
+    near = cosine * q + np.sqrt(1 - cosine * cosine) * turn
     all_cells = len(grid.first) * len(grid.second)
     # either of the two may meet the other
     ranks = np.minimum(_ranks(grid, q, near, all_cells), _ranks(grid, near, q, all_cells))
