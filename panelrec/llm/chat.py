@@ -34,13 +34,18 @@ LAYOUTS = {
 }
 
 
+def known_paths(layouts: dict = LAYOUTS) -> set[str]:
+    """All field paths that some layout names."""
+    return {p for needed, optional, _ in layouts.values() for p in (*needed, *optional)}
+
+
 def digest(paths: list[Column]) -> Column:
     """Fingerprint of the field paths a record has: SHA-256 of the sorted paths, one a line."""
     return F.sha2(F.concat_ws("\n", F.array_sort(F.array_compact(F.array(*paths)))), 256)
 
 
-def present_paths(schema: DataType, at: Column | None = None, prefix: str = "") -> list[Column]:
-    """One column for each leaf path of the schema: the path where the record has a value there, else null.
+def present_paths(schema: DataType, known: set[str], at: Column | None = None, prefix: str = "") -> list[Column]:
+    """One column for each leaf path of the schema that is known: the path where the record has a value there, else null.
 
     An array element's path ends in ``[]``; it counts as present if some element has a value.
     """
@@ -49,12 +54,14 @@ def present_paths(schema: DataType, at: Column | None = None, prefix: str = "")
         value = F.col(field.name) if at is None else at[field.name]
         path = f"{prefix}{field.name}"
         if isinstance(field.dataType, StructType):
-            out += present_paths(field.dataType, value, f"{path}.")
+            out += present_paths(field.dataType, known, value, f"{path}.")
         elif isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StructType):
             for name in field.dataType.elementType.names:
+                if f"{path}[].{name}" not in known:
+                    continue
                 has = F.exists(value, lambda e: e[name].isNotNull())  # noqa: B023  called at once
                 out.append(F.when(has, F.lit(f"{path}[].{name}")))
-        else:
+        elif path in known:
             out.append(F.when(value.isNotNull(), F.lit(path)))
     return out
 
@@ -81,11 +88,11 @@ def registry(schema: StructType, layouts: dict = LAYOUTS) -> list[tuple[str, lis
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", layouts: dict = LAYOUTS) -> DataFrame:
     """Turns ``(conv_id, layout, at, role, text)`` of records whose fingerprint a layout claims.
 
-    A record no layout claims keeps one row with layout ``unknown``, an empty role and no text, so nothing is lost
+    Fields that no layout names do not count. A record no layout claims keeps one row with layout ``unknown``, an empty role and no text, so nothing is lost
     silently. Null roles and texts become empty.
     """
     body = StructType([f for f in records.schema.fields if f.name != id_col])
-    marked = records.withColumn("__mark", digest(present_paths(body)))
+    marked = records.withColumn("__mark", digest(present_paths(body, known_paths(layouts))))
     layout, turns = F.lit("unknown"), F.expr("array(named_struct('at', 0L, 'role', '', 'text', cast(null as string)))")
     for name, prints, mapping in registry(body, layouts):
         hit = F.col("__mark").isin(prints)
