@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrec.llm import chat, debruijn, jaccard, mixing, packing, quality, shards, substrings, toxicity, vectors
+from panelrec.llm import chat, debruijn, jaccard, merkle, mixing, packing, quality, shards, substrings, toxicity, vectors
 from panelrec.llm.common import read
 from panelrec.llm.twins import TWINS  # noqa: F401  registered beside the queries
 
@@ -67,6 +67,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves, each with its proof and the root folded from it, half of them tampered with."""
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_embedding_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join,
-    op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding)}
+    op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding, op11_merkle_manifest)}

@@ -44,4 +44,52 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) a
 from texts left join kept using (doc_id)
 """
 
-TWINS = {"op1_chat_formatting": OP1, "op9_substring_dedup": OP9}
+OP11 = r"""
+with recursive bent as (
+    select row_number() over () as rid, *, case when bits % 2 = 0 then replace(text, chr(10), '') else text end as bent_text
+    from (
+        select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)))) as bits
+        from documents)
+), leaves as (
+    select rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+        sha256(head || coalesce(strlen(bent_text) || ':' || bent_text, '-')) as bent_leaf
+    from (
+        select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from bent)
+), sources as (
+    select source, row_number() over (order by source nulls first) - 1 as tree, count(*) over () as trees
+    from (select distinct source from documents)
+), placed as (
+    select l.*, s.tree, row_number() over (partition by s.tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by s.tree) as n
+    from leaves l join sources s on l.source is not distinct from s.source
+), nodes as (
+    select tree, 0 as lvl, pos, n, leaf as h from placed
+    union all
+    select tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by tree, lvl, pos // 3, n
+), upper_nodes as (
+    select -1 as tree, 0 as lvl, tree as pos, (select count(*) from sources) as n, h from nodes where n = 1
+    union all
+    select tree, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from upper_nodes where n > 1 group by tree, lvl, pos // 3, n
+), stored as (
+    select *, coalesce(string_agg(h, '' order by pos) over (run rows between unbounded preceding and 1 preceding), '') as l,
+        coalesce(string_agg(h, '' order by pos) over (run rows between 1 following and unbounded following), '') as r
+    from (select * from nodes union all select * from upper_nodes)
+    window run as (partition by tree, lvl, pos // 3 order by pos)
+), climb as (
+    select rid, tree as home, tree, 0 as lvl, pos, bent_leaf as folded, '' as proof from placed
+    union all
+    select c.rid, c.home, case when s.n = 1 then -1 else c.tree end, case when s.n = 1 then 0 else c.lvl + 1 end,
+        case when s.n = 1 then c.home else c.pos // 3 end,
+        case when s.n = 1 then c.folded else sha256(s.l || c.folded || s.r) end, case when s.n = 1 then c.proof else c.proof || s.l || s.r end
+    from climb c join stored s on c.tree = s.tree and c.lvl = s.lvl and c.pos = s.pos
+    where not (s.tree = -1 and s.n = 1)
+), finished as (
+    select c.rid, c.folded, sha256(c.proof) as proof_sha256, s.h as root
+    from climb c join stored s on c.tree = s.tree and c.lvl = s.lvl and c.pos = s.pos where s.tree = -1 and s.n = 1
+)
+select p.doc_id, p.leaf, t.h as subroot, f.root, f.proof_sha256, f.folded as folded_root, f.folded = f.root as verified
+from finished f join placed p using (rid) join nodes t on t.tree = p.tree and t.n = 1
+"""
+
+TWINS = {"op1_chat_formatting": OP1, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11}
