@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelrec.llm import chat, debruijn, jaccard, merkle, mixing, packing, quality, shards, substrings, toxicity, vectors
+from panelrec.llm import chat, debruijn, jaccard, kneser, merkle, mixing, packing, quality, ranked, shards, substrings, toxicity, vectors
 from panelrec.llm.common import read
 from panelrec.llm.twins import TWINS  # noqa: F401  registered beside the queries
 
@@ -72,6 +72,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of word pairs learnt from four fifths of them."""
+    return kneser.scored(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for each benchmark item."""
+    return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_embedding_near_dedup, op3_quality_rules, op4_suffix_array_dedup, op5_ngram_jaccard_join,
-    op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding, op11_merkle_manifest)}
+    op6_mixing, op7_toxicity, op8_best_fit_packing, op9_substring_dedup, op10_sharding, op11_merkle_manifest, op12_lm_scoring,
+    op13_ranked_search)}

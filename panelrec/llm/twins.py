@@ -92,4 +92,36 @@ select p.doc_id, p.leaf, t.h as subroot, f.root, f.proof_sha256, f.folded as fol
 from finished f join placed p using (rid) join nodes t on t.tree = p.tree and t.n = 1
 """
 
-TWINS = {"op1_chat_formatting": OP1, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11}
+OP13 = r"""
+with spoken as (
+    select row_number() over () as rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents
+), lengths as (
+    select rid, doc_id, ts, len(ts) as n from spoken where len(ts) > 0
+), whole as (
+    select count(*) as docs, sum(n)::bigint as tokens from lengths
+), asked as (
+    select distinct item_id, text from benchmark
+), query_terms as (
+    select item_id, text, term, count(*) as repeats
+    from (select item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from asked)
+    group by item_id, text, term
+), tfs as (
+    select rid, term, count(*) as tf from (select rid, unnest(ts) as term from lengths)
+    where term in (select term from query_terms) group by rid, term
+), weights as (
+    select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, whole group by term
+), impacts as (
+    select t.rid, l.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // tokens))) as impact
+    from tfs t join lengths l using (rid) join weights using (term) cross join whole
+), scores as (
+    select item_id, text, rid, doc_id, cast(sum(repeats * impact) as bigint) as score
+    from query_terms join impacts using (term) group by item_id, text, rid, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as int) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20
+"""
+
+TWINS = {"op1_chat_formatting": OP1, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11,
+         "op13_ranked_search": OP13}
