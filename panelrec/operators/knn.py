@@ -1,43 +1,39 @@
 """Exact nearest context rows per query row, and voting on their labels.
 
-Distances are matrix products inside tasks over Arrow batches of queries, against a
-broadcast context block of bounded size. A larger context is cut into such blocks by
-hash; every block returns its best k per query and an aggregation merges them, so
-no pair of rows is ever a row of a table.
+Both sides are dealt into blocks by row number, whatever their keys, and every pair of a query block and a context block
+meets in one task as two matrices: query blocks are repeated for each context block and the other way round, in
+one shuffle. A task returns k rows per query, which an aggregation merges, so no pair of rows is ever a row of
+a table and neither side passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 100_000
+from panelrec.session import staged
 
+#: Rows of a block: two blocks of 64 doubles a row and their Arrow copies take about 50 MB of a task.
+BLOCK_ROWS = 20_000
+STRIP_ROWS = 256
 
-def _blocks(context: DataFrame, key: str, vector: str, block_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bounded blocks of (ids, matrix), each small enough to broadcast."""
-    n = context.count()
-    parts = max(1, -(-n // max(1, int(block_rows * 0.8))))
-    tagged = context.select(
-        F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"),
-        F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"),
-    )
-    for part in range(parts):
-        rows = tagged.where(F.col("part") == part).select("id", "v").limit(block_rows + 1).toArrow()
-        if rows.num_rows > block_rows:
-            raise ValueError("context keys hash unevenly; use unique keys")
-        if rows.num_rows:
-            matrix = np.stack(rows.column("v").to_numpy(zero_copy_only=False))
-            yield rows.column("id").to_numpy(), matrix
+
+def _dealt(table: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, int]:
+    """``(row, id, v, block)`` of the rows that have a vector, and the number of blocks; staged, so that row numbers stay."""
+    rows = staged(table.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"))
+    blocks = max(1, -(-rows.count() // block_rows))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    return numbered.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")), blocks
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return np.asarray(table["v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, own: np.ndarray | None):
-    """Yield per query the ids and exact scores of its k best rows, ties by id.
+def _nearest(queries: np.ndarray, matrix: np.ndarray, place: np.ndarray, k: int, metric: str, own: np.ndarray | None):
+    """Yield per query the positions and exact scores of its k best rows, ties by ``place``.
 
     The product ranks roughly, for ``l2`` around the block's mean, so that a common offset cancels before
     squaring; every row within rounding of the k-th, measured by the norms that went into the product, is scored again.
@@ -55,7 +51,7 @@ def _nearest(queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, m
         scale = np.sqrt((queries**2).sum(1)) * np.sqrt((matrix**2).sum(1).max())
     slack = 8.0 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * scale
     if own is not None:
-        rough = np.where(own[:, None] == ids[None, :], np.inf, rough)
+        rough = np.where(own, np.inf, rough)
     kth = min(k, rough.shape[1]) - 1
     limit = np.partition(rough, kth, axis=1)[:, kth]
     for i, query in enumerate(queries):
@@ -65,8 +61,8 @@ def _nearest(queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, m
             score = ((matrix[near] - query) ** 2).sum(1)
         else:
             score = -(matrix[near] * query).sum(1)
-        order = np.lexsort((ids[near], score))[:k]
-        yield ids[near][order], score[order]
+        order = np.lexsort((place[near], score))[:k]
+        yield near[order], score[order]
 
 
 def nearest(
@@ -81,39 +77,44 @@ def nearest(
 ) -> DataFrame:
     """(key, rank, context_id, distance) of the k nearest context rows of each query.
 
-    ``l2`` gives squared distances, ``ip`` negated inner products; ties by context id.
+    ``l2`` gives squared distances, ``ip`` negated inner products; ties by context id. Rows without a vector
+    neither ask nor answer; equal keys are rows of their own on both sides, and ``exclude_self`` leaves out all context rows
+    of the query's key. An empty side gives no rows.
     """
-    spark = queries.sparkSession
     kind = dict(queries.dtypes)[key]
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    partial = []
-    for ids, matrix in _blocks(context, key, vector, block_rows):
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                for start in range(0, len(batch), 256):
-                    part = batch.iloc[start : start + 256]
-                    own = part["q"].to_numpy()
-                    found = list(
-                        _nearest(
-                            np.stack(part["v"].to_numpy()), ids, matrix, k, metric,
-                            own if exclude_self else None,
-                        )
-                    )
-                    yield pd.DataFrame({
-                        "q": np.repeat(own, [len(f[0]) for f in found]),
-                        "context_id": np.concatenate([f[0] for f in found]),
-                        "distance": np.concatenate([f[1] for f in found]),
-                    })
-
-        partial.append(asked.mapInPandas(scan, f"q {kind}, context_id {kind}, distance double"))
-    if not partial:
-        raise ValueError("the context is empty")
-    found = reduce(DataFrame.unionByName, partial)
-    # A query gets at most k rows per block, so its group is bounded.
-    best = found.groupBy("q").agg(
+    left, left_blocks = _dealt(queries, key, vector, block_rows)
+    right, right_blocks = _dealt(context, key, vector, block_rows)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = left.select("row", "id", "v", F.col("block").alias("a"), every(right_blocks).alias("b"))
+    given = right.select("id", "v", F.col("block").alias("b"), every(left_blocks).alias("a"))
+
+    def product(q: pa.Table, c: pa.Table) -> pa.Table:
+        rows, distance, taken = [], [], []
+        if q.num_rows and c.num_rows:
+            ids = c["id"].to_numpy()
+            place = np.unique(ids, return_inverse=True)[1]
+            names, asking, matrix, number = q["id"].to_numpy(), _matrix(q), _matrix(c), q["row"].to_numpy()
+            for start in range(0, len(asking), STRIP_ROWS):
+                strip = slice(start, start + STRIP_ROWS)
+                own = names[strip][:, None] == ids[None, :] if exclude_self else None
+                for i, (near, score) in enumerate(_nearest(asking[strip], matrix, place, k, metric, own), start):
+                    rows.append(np.full(len(near), i))
+                    taken.append(near)
+                    distance.append(score)
+        at = np.concatenate(rows) if rows else np.zeros(0, int)
+        picked = np.concatenate(taken) if taken else np.zeros(0, int)
+        return pa.table({
+            "row": q["row"].take(pa.array(at)), "q": q["id"].take(pa.array(at)), "context_id": c["id"].take(pa.array(picked)),
+            "distance": pa.array(np.concatenate(distance) if distance else np.zeros(0)),
+        })
+
+    found = asked.groupBy("a", "b").cogroup(given.groupBy("a", "b")).applyInArrow(
+        product, f"row long, q {kind}, context_id {kind}, distance double")
+    # A query gets at most k rows per context block, so its group is bounded.
+    best = found.groupBy("row", "q").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "context_id"))), 1, k).alias("best")
     )
     return best.select(F.col("q").alias(key), F.posexplode("best").alias("rank", "_b")).select(
@@ -127,7 +128,8 @@ def knn_class_probs(
 ) -> DataFrame:
     """Class probabilities from neighbours' labels weighted by exp(-distance).
 
-    ``labels`` holds (context_id, label). Every class gets ``smoothing`` weight.
+    ``labels`` holds (context_id, label), one row per id, and ``neighbours`` queries of different keys. Every class gets
+    ``smoothing`` weight.
     """
     votes = neighbours.join(labels, "context_id").groupBy(key).agg(
         *[

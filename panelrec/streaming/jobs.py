@@ -6,19 +6,24 @@ output: at-least-once delivery plus that gives every event one stored decision.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from panelrec.config import CascadeSpec
+from panelrec.config import RECS_TTL_SECONDS, CascadeSpec
+from panelrec.functions import arrays as A
 from panelrec.operators.decide import cascade
 from panelrec.operators.scale import newest
 from panelrec.operators.store import lookup, missed
+from panelrec.streaming.keyed import KeyedTable
+from panelrec.streaming.state import held_items
+from panelrec.streaming.telemetry import Tail
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -78,9 +83,42 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], or
     write_batch(read_newest(spark, path, keys, order), target, 0)
 
 
+RECS_COLUMNS = "user_id long, event_id long, ts timestamp, action string, prediction int, recs array<int>, is_active boolean, regime string, expires_at timestamp"
+LATENCY_COLUMNS = "n_events long, mean_ms double, max_ms double, decided_at timestamp"
+
+
+def recs_table(path: str, buckets: int = 64) -> KeyedTable:
+    """Newest decision of every user, by event time."""
+    return KeyedTable(path, RECS_COLUMNS, ("user_id",), ("ts", "event_id"), buckets)
+
+
+def recommendations(routed: DataFrame, ttl_seconds: int = RECS_TTL_SECONDS) -> DataFrame:
+    """Decisions as rows of ``recs_table``, each with the time at which it expires."""
+    names = [c.split()[0] for c in RECS_COLUMNS.split(", ")]
+    ts = F.col("ts").cast("timestamp")
+    return routed.withColumn("ts", ts).withColumn("expires_at", ts + F.make_dt_interval(secs=F.lit(ttl_seconds))).select(*names)
+
+
+def current(recs: DataFrame, now: Column) -> DataFrame:
+    """Recommendations that have not expired at ``now``."""
+    return recs.where(F.col("expires_at") > now)
+
+
+@dataclass(frozen=True)
+class Outputs:
+    """Where a decision sink writes: the log of all decisions and, if named, the newest decision of every user, the last
+    decisions for telemetry, one row of latencies a batch, and fallback rows of entities the store lacks."""
+
+    log: str
+    recs: KeyedTable | None = None
+    tail: Tail | None = None
+    latency: str | None = None
+    missed: str | None = None
+
+
 def decision_sink(
-    log_path: str,
-    store: Callable[[SparkSession], DataFrame],
+    outputs: Outputs | str,
+    store: Callable[[SparkSession], DataFrame] | KeyedTable,
     relevance: dict[str, Sequence[int]],
     scorer: Callable[[DataFrame], DataFrame],
     propensity: Callable[[DataFrame], DataFrame],
@@ -88,22 +126,45 @@ def decision_sink(
     fallback: Callable[[SparkSession], DataFrame] | None = None,
     store_path: str | None = None,
     spec: CascadeSpec = CascadeSpec(),
+    ttl_seconds: int = RECS_TTL_SECONDS,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function: features, propensity, gated scoring, routing, decision log.
+    """Batch function: features, propensity, gated scoring, routing, then all outputs of the batch.
 
-    ``store`` and ``fallback`` are read anew per batch, so updates are seen. With
-    ``store_path`` the fallback rows of missing entities are written back.
+    ``store`` and ``fallback`` are read anew per batch, so updates are seen; a ``KeyedTable`` as ``store`` is read in the
+    buckets of the batch's users only. Items of a ``held`` column of the events (``held_items``) are held besides the
+    store's. The log is written first and everything else is made from what was written, so a batch decides once and a
+    replay gives all outputs the same rows again, only latencies being those of the replay. With ``store_path`` fallback rows of missing entities are written back.
     """
+    to = Outputs(outputs, missed=store_path) if isinstance(outputs, str) else outputs
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        table = store(spark)
-        batch_view = fallback(spark) if fallback else None
         events = with_defaults(batch)
+        claimed = "held" in events.columns
+        if claimed:
+            events = events.withColumnRenamed("held", "_claimed")
+        table = store.read(spark, events.select(*store.keys)) if isinstance(store, KeyedTable) else store(spark)
+        batch_view = fallback(spark) if fallback else None
         featured = lookup(events, table, "user_id", width, batch_view)
-        routed = cascade(propensity(featured), relevance, scorer, spec)
-        write_batch(routed.drop("vector"), log_path, batch_id)
-        if batch_view is not None and store_path is not None:
-            write_batch(missed(events, table, batch_view, "user_id"), store_path, batch_id)
+        if claimed:
+            both = A.ordered_union(F.col("held"), F.coalesce("_claimed", F.array().cast("array<int>")))
+            featured = featured.withColumn("held", both).drop("_claimed")
+        routed = cascade(propensity(featured), relevance, scorer, spec).drop("vector")
+        seen = Observation()
+        ms = F.unix_millis(F.col("ts").cast("timestamp"))
+        write_batch(routed.observe(seen, F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean"), F.min(ms).alias("least")), to.log, batch_id)
+        decided = time.time() * 1000
+        written = spark.read.parquet(f"{to.log}/batch_id={batch_id}")
+        if to.recs is not None:
+            to.recs.write(recommendations(written, ttl_seconds), batch_id)
+        if to.tail is not None:
+            to.tail.add(written.withColumn("latency_ms", F.lit(decided) - ms), batch_id)
+        if to.latency is not None:
+            n, mean, least = (seen.get[x] for x in ("n", "mean", "least"))
+            row = (n, decided - mean if n and mean is not None else None, decided - least if least is not None else None, datetime.fromtimestamp(decided / 1000))
+            write_batch(spark.createDataFrame([row], LATENCY_COLUMNS), to.latency, batch_id)
+        if batch_view is not None and to.missed is not None:
+            write_batch(missed(events, table, batch_view, "user_id"), to.missed, batch_id)
 
     return run
 
@@ -121,32 +182,9 @@ def start_decisions(
 
 # -------------------------------------------------------------- keyed state
 
-HELD_OUTPUT = "event_id long, user_id long, action string, held array<int>"
-HELD_STATE = "held array<int>"
-
-
-def _held_step(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    held = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    out = []
-    for row in rows.itertuples():
-        out.append((row.event_id, key[0], row.action, list(held)))
-        if pd.notna(row.item) and int(row.item) not in held:
-            held.append(int(row.item))
-    state.update((held,))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "action", "held"])
-
-
 def held_state_stream(events: DataFrame) -> DataFrame:
-    """Items each user held just before each event; ``item`` is set on acquisitions.
-
-    State is one list per user, as long as the item catalog at most.
-    """
-    return events.groupBy("user_id").applyInPandasWithState(
-        _held_step, HELD_OUTPUT, HELD_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    """Items each user held just before each event; ``item`` is set on acquisitions."""
+    return held_items(events).select("event_id", "user_id", "action", "held")
 
 
 # ---------------------------------------------------------------- telemetry

@@ -200,3 +200,28 @@ def test_long_top_lists_and_fitted_transforms(spark):
     fit = spark.range(100).selectExpr("cast(id as double) as v")
     moved = scale_power(spark.createDataFrame([(1000.0,), (1002.0,)], "v double"), ["v"], fit)
     assert min(r.v for r in moved.collect()) > 1
+
+
+def test_nearest_with_equal_keys_and_blocks(spark):
+    import numpy as np
+
+    from panelrec.operators.knn import nearest
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, size=(90, 3)).astype(float)
+    ids = [f"k{i % 5}" if i < 60 else f"u{i}" for i in range(90)]
+    shape = "row_id string, vector array<double>"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [("none", None)], shape)
+    for exclude in (False, True):
+        got = [(r.row_id, r["rank"], r.context_id, r.distance) for r in nearest(df, df, 4, exclude_self=exclude, block_rows=13).collect()]
+        want = []
+        for i in range(90):
+            far = ((x - x[i]) ** 2).sum(1)
+            near = sorted((far[j], ids[j]) for j in range(90) if not (exclude and ids[j] == ids[i]))[:4]
+            want += [(ids[i], n, c, d) for n, (d, c) in enumerate(near)]
+        assert sorted(got) == sorted(want)
+    none = df.limit(0)
+    assert nearest(df, none, 3).count() == 0 and nearest(none, df, 3).count() == 0
+    # blocks meet in a shuffle: no plan of ours sends one side to the driver or to all tasks
+    plan = nearest(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Broadcast" not in plan
