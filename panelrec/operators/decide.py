@@ -205,10 +205,10 @@ def replay_report(df: DataFrame) -> DataFrame:
 
 def audit_matches(df: DataFrame) -> DataFrame:
     """Top-1 and top-k match of each decision, and the place of the true item."""
-    top1 = ((F.col("y") == 0) & (F.col("prediction") == 0)) | F.array_contains("actual", F.col("prediction")) | (
+    top1 = F.coalesce(((F.col("y") == 0) & (F.col("prediction") == 0)) | F.array_contains("actual", F.col("prediction")) | (
         (F.col("prediction") == F.col("y"))
-    )
-    wanted = F.array_distinct(F.concat("actual", F.array("y")))
+    ), F.lit(False))
+    wanted = F.array_distinct(F.array_compact(F.concat("actual", F.array("y"))))
     present = F.filter(wanted, lambda c: F.array_contains(F.col("recs"), c))
     place = F.when(
         top1, F.when(F.col("y") != 0, 1).otherwise(0)

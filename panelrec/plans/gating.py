@@ -108,7 +108,8 @@ def cascade_on_events(spark, sf):
     def scorer(df):
         from panelrec.operators.scale import join_lookup
 
-        return join_lookup(df, known, ["user_id"])
+        uniform = F.array_repeat(F.lit(1.0 / 16), 16)  # unknown users: a vector of zeros
+        return join_lookup(df, known, ["user_id"]).withColumn("probs", F.coalesce("probs", uniform))
 
     out = D.cascade(events.drop("probs"), V.RELEVANCE, scorer)
     return rounded(out.groupBy("regime", "action").agg(
@@ -142,8 +143,8 @@ def replay_report(spark, sf):
 @query("audit_matches", with_views("decisions", """select event_id, user_id, prediction, top1 as top1_match,
     top1 or len(present) > 0 as topk_match,
     cast(case when top1 then case when y <> 0 then 1 else 0 end when len(present) > 0 then list_position(recs, present[1]) else -1 end as integer) as target_rank
-    from (select *, (y = 0 and prediction = 0) or list_contains(actual, prediction) or prediction = y as top1,
-      list_filter(list_concat(actual, case when list_contains(actual, y) then [] else [y] end), lambda c: list_contains(recs, c)) as present from decisions)"""))
+    from (select *, coalesce((y = 0 and prediction = 0) or list_contains(actual, prediction) or prediction = y, false) as top1,
+      list_filter(list_concat(actual, case when y is null or list_contains(actual, y) then [] else [y] end), lambda c: list_contains(recs, c)) as present from decisions)"""))
 def audit_matches(spark, sf):
     return D.audit_matches(V.decisions(spark, sf)).select("event_id", "user_id", "prediction", "top1_match", "topk_match", "target_rank")
 

@@ -1,5 +1,7 @@
 """Queries: feature store, decision log, event state and telemetry (batch twins of the streams)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelrec.functions import arrays as A
@@ -10,8 +12,10 @@ from panelrec.operators import store as T
 from panelrec.plans import views as V
 from panelrec.plans.registry import query, rounded
 from panelrec.plans.views import CM_ITEMS, ITEMS, r6, with_views
-from panelrec.session import staged
-from panelrec.streaming.jobs import telemetry_columns
+from panelrec.session import checkpoint_root, staged
+from panelrec.streaming.jobs import current, recommendations, recs_table, telemetry_columns
+from panelrec.streaming.state import sessions
+from panelrec.streaming.telemetry import NEEDED, last_decisions, telemetry_of
 
 _row = f"user_id, {r6('list_sum(vector)')} as total, array_to_string(held, ',') as held, cast(updated_at as varchar) as updated_at"
 NOW = "2024-01-30 12:00:00"
@@ -103,24 +107,57 @@ def dedup_events(spark, sf):
     return ev.unionByName(ev).dropDuplicates(["event_id"])
 
 
-_codes = "case event_type " + " ".join(f"when '{i}' then {n}" for n, i in enumerate(ITEMS, 1)) + " end"
-
-
 @query("held_state", f"""select e.event_id, e.user_id, coalesce((select string_agg(item, ',' order by ts, event_id) from (
-      select {_codes.replace('event_type', 'f.event_type')} as item, min(f.ts) as ts, min_by(f.event_id, (f.ts, f.event_id)) as event_id from events f
+      select {V.CLAIM_SQL.replace('event_type', 'f.event_type')} as item, min(f.ts) as ts, min_by(f.event_id, (f.ts, f.event_id)) as event_id from events f
       where f.user_id = e.user_id and f.event_type in ('purchase', 'signup', 'view') and (f.ts, f.event_id) < (e.ts, e.event_id) group by 1)), '') as held from events e""")
 def held_state(spark, sf):
-    ev = _acquisitions(spark, sf)
+    ev = V.claims(spark, sf)
     out = T.held_before(ev, "user_id", "item", ["ts", "event_id"])
     return out.select("event_id", "user_id", A.joined(F.col("held")).alias("held"))
 
 
-def _acquisitions(spark, sf):
-    code = F.lit(None).cast("int")
-    for n, i in enumerate(ITEMS, 1):
-        if i in ("purchase", "signup", "view"):
-            code = F.when(F.col("event_type") == i, n).otherwise(code)
-    return V.read(spark, sf, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("action"), code.alias("item"))
+@query("held_decisions", with_views("decisions_held", """select event_id, user_id, regime, prediction, array_to_string(recs, ',') as recs, is_active, is_unknown from decisions_held"""))
+def held_decisions(spark, sf):
+    """Batch twin of the decision stream with held items: what a user acquired is not recommended again."""
+    return V.decisions_held(spark, sf).select("event_id", "user_id", "regime", "prediction", A.joined(F.col("recs")).alias("recs"), "is_active", "is_unknown")
+
+
+@query("recs_stored", with_views("decisions", f"""select user_id, event_id, prediction, array_to_string(recs, ',') as recs, cast(ts + interval 1 hour as varchar) as expires_at
+    from (select * from decisions qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where ts + interval 1 hour > timestamp '{NOW}'"""))
+def recs_stored(spark, sf):
+    """Two batches of decisions through the keyed table, compacted, read where they have not expired."""
+    table = recs_table(f"{checkpoint_root(spark)}/recs/{uuid.uuid4().hex}", 8)
+    d = staged(V.decisions(spark, sf))
+    split = F.lit("2024-01-15").cast("timestamp_ntz")
+    table.write(recommendations(d.where(F.col("ts") < split)), 0)
+    table.write(recommendations(d.where(F.col("ts") >= split)), 1)
+    table.compact(spark, above=1)
+    out = current(table.read(spark), F.lit(NOW).cast("timestamp"))
+    return out.select("user_id", "event_id", "prediction", A.joined(F.col("recs")).alias("recs"), F.col("expires_at").cast("string").alias("expires_at"))
+
+
+TAIL = 1000
+
+
+@query("stream_telemetry", with_views("decisions", f"""with_tail as (select * from decisions order by ts desc, event_id desc limit {TAIL})
+    select (select count(*) from with_tail) as n_events, (select count(*) from decisions) as total_events,
+      (select round(quantile_cont(latency_ms, 0.5), 6) from with_tail) as p50, (select round(quantile_cont(latency_ms, 0.95), 6) from with_tail) as p95,
+      (select round(avg(cast(is_active as int)) * 100, 6) from with_tail) as active_pct, (select round(100 - avg(cast(is_active as int)) * 100, 6) from with_tail) as silent_pct,
+      (select string_agg(v || ':' || n, ',' order by n desc, v) from (select action as v, count(*) as n from with_tail group by 1)) as action_mix,
+      (select string_agg(v || ':' || n, ',' order by n desc, v) from (select regime as v, count(*) as n from with_tail group by 1)) as regime_mix""").replace(")\nwith_tail", "),\nwith_tail"))
+def stream_telemetry(spark, sf):
+    """The newest thousand decisions: latency percentiles, share of live ones, mixes."""
+    d = staged(V.decisions(spark, sf).select(*NEEDED))
+    return rounded(telemetry_of(last_decisions(d, TAIL), F.lit(d.count())))
+
+
+@query("sessions", f"""with e as (select user_id, ts, {V.CLAIM_SQL} as item, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end as apart from events),
+    s as (select *, sum(apart) over (partition by user_id order by ts rows unbounded preceding) as session from e)
+    select user_id, cast(min(ts) as varchar) as session_start, cast(max(ts) as varchar) as session_end, count(*) as n_events, count(item) as n_acquired from s group by user_id, session""")
+def activity_sessions(spark, sf):
+    """Sessions of each user: events at most six hours apart."""
+    out = sessions(V.claims(spark, sf), 6 * 3600)
+    return out.select("user_id", *[F.col(c).cast("string").alias(c) for c in ("session_start", "session_end")], "n_events", "n_acquired")
 
 
 @query("daily_telemetry", with_views("decisions", """select cast(cast(ts as date) as varchar) as day, count(*) as n, count(*) filter (is_active) as n_active,

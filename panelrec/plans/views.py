@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelrec.config import PanelSpec
 from panelrec.functions import arrays as A
+from panelrec.functions import scalars as S
 
 ITEMS = ("click", "error", "purchase", "signup", "view")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -151,7 +152,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf: str, ranked: bool = False) -> DataFrame:
-    """Events with the score row of their user, optionally with its candidates."""
+    """Events with the score row of their user, optionally with its candidates.
+
+    Users without one keep their events: they are scored as a zero vector, hold nothing, have no truth and are flagged.
+    """
     from panelrec.operators.decide import CANDIDATE_COLUMNS, with_candidates
     from panelrec.operators.scale import join_lookup
 
@@ -162,7 +166,22 @@ def actions(spark: SparkSession, sf: str, ranked: bool = False) -> DataFrame:
     facts = with_candidates(scores(spark, sf)) if ranked else scores(spark, sf)
     kept = ["row_id", "y", "actual", "probs", "p_buy", "held", "is_cold"]
     facts = facts.select(*kept, *(CANDIDATE_COLUMNS if ranked else ()))
-    return join_lookup(ev, facts, ["row_id"], "inner").withColumnRenamed("row_id", "user_id")
+    out = join_lookup(ev, facts.withColumn("_known", F.lit(True)), ["row_id"])
+    unknown = _zero_scores()
+    return out.select(
+        *ev.columns[:2], F.col("row_id").alias("user_id"), *ev.columns[3:],
+        *[F.coalesce(F.col(c), unknown[c].cast(facts.schema[c].dataType)).alias(c) for c in facts.columns[1:]],
+        F.col("_known").isNull().alias("is_unknown"))
+
+
+def _zero_scores() -> dict[str, Column]:
+    """The score row, and its candidates, of a vector of zeros: every class alike."""
+    none, p = F.array(), F.lit(1.0 / 16)
+    return {
+        "y": F.lit(None), "actual": none, "probs": F.array_repeat(p, 16), "p_buy": F.lit(0.5), "held": none, "is_cold": F.lit(False),
+        "ranked": F.array(*map(F.lit, range(1, 16))), "cand": F.lit(1), "p0": p, "p_top": p, "p_second": p,
+        "base_recs": F.array(*map(F.lit, range(1, 8))), "odds": S.odds(p, p, "add"),
+    }
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,6 +191,26 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return route(actions(spark, sf, ranked=True), RELEVANCE)
 
 
+def claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the decision stream sees them: ``item`` is set where one acquires an item."""
+    code = F.lit(None).cast("int")
+    for n, i in enumerate(ITEMS, 1):
+        if i in CLAIMS:
+            code = F.when(F.col("event_type") == i, n).otherwise(code)
+    return read(spark, sf, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("action"), code.alias("item"))
+
+
+def decisions_held(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event routed with the items its user had acquired before it held too."""
+    from panelrec.operators.decide import route
+    from panelrec.operators.scale import join_lookup
+    from panelrec.operators.store import held_before
+
+    got = held_before(claims(spark, sf), "user_id", "item", ["ts", "event_id"]).select("event_id", F.col("held").alias("_got"))
+    both = join_lookup(actions(spark, sf), got, ["event_id"])
+    return route(both.withColumn("held", A.ordered_union(F.col("held"), F.col("_got"))).drop("_got"), RELEVANCE)
+
+
 # -------------------------------------------------------------- feature store
 
 def day_vectors(spark: SparkSession, sf: str, first: str, last: str) -> DataFrame:
@@ -250,7 +289,7 @@ def relevance_sql(action: str, item: str) -> str:
     tests = " ".join(
         f"when {action} = '{a}' then {item} in ({', '.join(map(str, items))})" for a, items in RELEVANCE.items() if items
     )
-    return f"(case {tests} else false end)"
+    return f"coalesce(case {tests} else false end, false)"
 
 
 def _day_sql(first: str, last: str) -> str:
@@ -261,6 +300,21 @@ def _day_sql(first: str, last: str) -> str:
         qualify row_number() over (partition by user_id order by d desc) = 1"""
 
 
+#: Event kinds that acquire the item of their number.
+CLAIMS = ("purchase", "signup", "view")
+CLAIM_SQL = "case event_type " + " ".join(f"when '{i}' then {n}" for n, i in enumerate(ITEMS, 1) if i in CLAIMS) + " end"
+
+DECISIONS_SQL = f"""select *, case when regime in ('stage1_cpu_hold', 'stage2_gate1c_hold') then 0
+          else choice end as prediction, case when skipped then [] else base end as recs,
+        case when skipped then 0.0 else ratio end as odds_ratio, regime = 'candidate_c_live_push' as is_active
+        from (select *, case when skipped then 'stage1_cpu_hold' when ratio <= theta then 'stage2_gate1c_hold'
+          when p_buy >= 0.3 and {relevance_sql('action', 'choice')} then 'candidate_c_live_push'
+          else 'candidate_a_silent_cache' end as regime
+        from (select *, p_buy < 0.2 as skipped, coalesce(base[1], cand) as choice,
+          case when cand in (1, 7, 9, 14, 15) then 6.0 else 1.8 end as theta
+        from (select *, ({ranked_sql('probs')})[1] as cand, {unheld_sql(ranked_sql('probs'))} as base,
+          list_max(probs[2:16]) / greatest(probs[1], 1e-8) as ratio from SOURCE)))"""
+
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "panel_ud": ((), f"select user_id, cast(ts as date) as d, {_flag}, sum(value) as amt from events group by 1, 2"),
     "lags_ud": (("panel_ud",), f"""select *, {lag_sql(ITEMS, 'user_id', 'd', ITEMS)},
@@ -310,18 +364,17 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         probs[1] as p0, list_max(probs[2:16]) as p_top, (list_reverse_sort(probs[2:16]))[2] as p_second,
         {unheld_sql(ranked_sql('probs'))} as base_recs, list_max(probs[2:16]) / (probs[1] + 1e-9) as odds
         from scores"""),
-    "actions": (("scores",), """select event_id, ts, user_id, event_type as action, value as latency_ms, y, actual,
-        probs, p_buy, held, is_cold from events join scores on row_id = user_id"""),
-    "decisions": (("actions",), f"""select *, case when regime in ('stage1_cpu_hold', 'stage2_gate1c_hold') then 0
-          else choice end as prediction, case when skipped then [] else base end as recs,
-        case when skipped then 0.0 else ratio end as odds_ratio, regime = 'candidate_c_live_push' as is_active
-        from (select *, case when skipped then 'stage1_cpu_hold' when ratio <= theta then 'stage2_gate1c_hold'
-          when p_buy >= 0.3 and {relevance_sql('action', 'choice')} then 'candidate_c_live_push'
-          else 'candidate_a_silent_cache' end as regime
-        from (select *, p_buy < 0.2 as skipped, coalesce(base[1], cand) as choice,
-          case when cand in (1, 7, 9, 14, 15) then 6.0 else 1.8 end as theta
-        from (select *, ({ranked_sql('probs')})[1] as cand, {unheld_sql(ranked_sql('probs'))} as base,
-          list_max(probs[2:16]) / greatest(probs[1], 1e-8) as ratio from actions)))"""),
+    "actions": (("scores",), """select event_id, ts, user_id, event_type as action, value as latency_ms, y, coalesce(actual, []) as actual,
+        coalesce(probs, list_transform(range(16), lambda i: cast(0.0625 as double))) as probs, coalesce(p_buy, 0.5) as p_buy,
+        coalesce(held, []) as held, coalesce(is_cold, false) as is_cold, row_id is null as is_unknown
+        from events left join scores on row_id = user_id"""),
+    "decisions": (("actions",), DECISIONS_SQL.replace("SOURCE", "actions")),
+    "claims": ((), f"select event_id, ts, user_id, {CLAIM_SQL} as item from events"),
+    "actions_held": (("actions", "claims"), """select a.* replace (list_concat(held, coalesce(list_filter(got, lambda c: not list_contains(held, c)), [])) as held)
+        from actions a left join (select e.event_id, list(f.item order by f.item) as got from claims e
+          join (select user_id, item, min((ts, event_id)) as first from claims where item is not null group by 1, 2) f
+            on f.user_id = e.user_id and f.first < (e.ts, e.event_id) group by 1) using (event_id)"""),
+    "decisions_held": (("actions_held",), DECISIONS_SQL.replace("SOURCE", "actions_held")),
     "store_first": (("panel_ud",), _day_sql("2024-01-01", "2024-01-01")),
     "store_batch": (("panel_ud",), _day_sql("2024-01-02", LAST_DAY)),
     "store_all": (("panel_ud",), _day_sql("2024-01-01", LAST_DAY)),
