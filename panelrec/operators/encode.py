@@ -15,7 +15,6 @@ from panelrec.operators.scale import (
     column_quantiles,
     join_lookup,
     ranked_table,
-    running_totals,
 )
 
 
@@ -180,31 +179,6 @@ def scale_robust(df: DataFrame, columns: Sequence[str], fit: DataFrame | None =
     })
 
 
-def quantile_positions(df: DataFrame, column: str) -> DataFrame:
-    """(value, u): mid-rank position in [0, 1] of every distinct value."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    n_rows = values.agg(F.sum("n")).first()[0]
-    placed = running_totals(values, "value", ["n"])
-    middle = F.col("cum_n") - F.col("n") + (F.col("n") - 1) / 2.0
-    return placed.select("value", (middle / F.lit(float(max(n_rows - 1, 1)))).alias("u"))
-
-
-def scale_quantile(df: DataFrame, column: str, output: str = "uniform") -> DataFrame:
-    """Quantile transform: uniform on [-1, 1], or normal."""
-    places = quantile_positions(df, column).withColumnRenamed("value", "_key")
-    keyed = df.withColumn("_key", F.col(column).cast("double"))
-    u = F.col("u")
-    if output == "uniform":
-        value = 2.0 * u - 1.0
-    else:
-        value = S.inverse_normal(clipped(u, 1e-7, 1 - 1e-7))
-    return join_lookup(keyed, places, ["_key"]).select(
-        *[value.alias(c) if c == column else F.col(c) for c in df.columns]
-    )
-
-
 def yeo_johnson(x: Column, power: Column) -> Column:
     near_zero, near_two = F.abs(power) < 1e-12, F.abs(power - 2.0) < 1e-12
     return F.when(
@@ -296,16 +270,6 @@ def sigma_clip(df: DataFrame, columns: Sequence[str], n_sigma: float = 4.0) -> D
     })
 
 
-def pca_reduce(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Project an array column on its first ``k`` principal components."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    table = df.withColumn("_vec", array_to_vector(F.col(column).cast("array<double>")))
-    model = PCA(k=k, inputCol="_vec", outputCol="_pca").fit(table)
-    return model.transform(table).withColumn("components", vector_to_array("_pca")).drop("_vec", "_pca")
-
-
 def column_profile(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Mean, variance and least-squares line against the target, per column."""
     cells = long_form(df, columns, [target]).withColumn("value", F.coalesce("value", F.lit(0.0)))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelrec.operators import encode as E
+from panelrec.operators import fitted as Q
 from panelrec.operators.models import target_stats
 from panelrec.plans import views as V
 from panelrec.plans.registry import query, rounded
@@ -119,13 +120,34 @@ def scale_robust(spark, sf):
     return rounded(E.scale_robust(_lineitem(spark, sf), PAIR))
 
 
-_rank_u = """(select o_orderkey, o_totalprice, (below + (ties - 1) / 2.0) / (n - 1) as u from (select o_orderkey, o_totalprice,
-    rank() over (order by o_totalprice) - 1 as below, count(*) over (partition by o_totalprice) as ties, count(*) over () as n from orders))"""
+def _place_sql(fit):
+    """(o_orderkey, u): places of all prices on a map of 1,000 points fitted on the orders of ``fit``."""
+    lower, rest = "(k * (n - 1)) // (p - 1) + 1", "(k * (n - 1)) % (p - 1)"
+    return f"""(with a as (select list(o_totalprice order by o_totalprice) as v, count(*) as n, least(1000, count(*)) as p from orders {fit}),
+      m as materialized (select p, list_transform(range(p), lambda k: v[{lower}] + case when {rest} > 0 then (v[{lower} + 1] - v[{lower}]) * (({rest}) / (p - 1)) else 0 end) as q from a),
+      c as (select o_orderkey, o_totalprice as x, q, p, len(list_filter(q, lambda z: z < o_totalprice)) as l, len(list_filter(q, lambda z: z <= o_totalprice)) as r from orders, m)
+      select o_orderkey, case when l < r then (l + r - 1) / 2 when l = 0 then 0 when l = p then p - 1 else l - 1 + (x - q[l]) / (q[l + 1] - q[l]) end / (p - 1) as u from c)"""
 
 
-@query("scale_quantile", f"select o_orderkey, round(2.0 * u - 1.0, 6) + 0.0 as o_totalprice from {_rank_u}")
+@query("scale_quantile", f"select o_orderkey, round(2.0 * u - 1.0, 6) + 0.0 as o_totalprice from {_place_sql('')}")
 def scale_quantile(spark, sf):
-    return rounded(E.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"))
+    return rounded(Q.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]))
+
+
+@query("scale_quantile_fitted", f"select o_orderkey, round(2.0 * u - 1.0, 6) + 0.0 as o_totalprice from {_place_sql(chr(39).join(['where o_orderdate < date ', '1998-01-01', '']))}")
+def scale_quantile_fitted(spark, sf):
+    """The map is fitted on earlier orders and applied to all."""
+    t = V.read(spark, sf, "orders")
+    fit = t.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("date"))
+    return rounded(Q.scale_quantile(t.select("o_orderkey", "o_totalprice"), ["o_totalprice"], fit=fit))
+
+
+@query("fit_quantiles", """with a as (select list(c_acctbal order by c_acctbal) as v, count(*) as n from customer)
+    select 'c_acctbal' as "column", cast(k as bigint) as k, round(v[(k * (n - 1)) // 20 + 1] + case when (k * (n - 1)) % 20 > 0 then
+      (v[(k * (n - 1)) // 20 + 2] - v[(k * (n - 1)) // 20 + 1]) * (((k * (n - 1)) % 20) / 20) else 0 end, 6) + 0.0 as point from a, range(21) r(k)""")
+def fit_quantiles(spark, sf):
+    fitted = Q.fit_quantiles(V.read(spark, sf, "customer"), ["c_acctbal"], 21)
+    return rounded(fitted.select("column", F.posexplode("points").alias("k", "point"))).withColumn("k", F.col("k").cast("long"))
 
 
 def _normal_sql():
@@ -139,9 +161,9 @@ def _normal_sql():
 
 
 @query("scale_quantile_normal", f"""select o_orderkey, round({_normal_sql()}, 6) + 0.0 as o_totalprice from (select *, p - 0.5 as q, (p - 0.5) * (p - 0.5) as r
-    from (select o_orderkey, least(greatest(u, 1e-7), 1 - 1e-7) as p from {_rank_u}))""")
+    from (select o_orderkey, least(greatest(u, 1e-7), 1 - 1e-7) as p from {_place_sql('')}))""")
 def scale_quantile_normal(spark, sf):
-    return rounded(E.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "normal"))
+    return rounded(Q.scale_quantile(V.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "normal"))
 
 
 _yj = """case when c_acctbal >= 0 then case when abs(p) < 1e-12 then ln(1 + c_acctbal) else (pow(c_acctbal + 1.0, p) - 1.0) / p end
@@ -192,8 +214,20 @@ def missing_indicators(spark, sf):
 
 @query("pca_reduce")
 def pca_reduce(spark, sf):
-    out = E.pca_reduce(V.vectors(spark, sf), "vector", 4)
-    return rounded(out.select("row_id", F.posexplode("components").alias("pos", "x")).withColumn("x", F.abs("x")))
+    """Scores of all rows on the four directions of largest variance, signs fixed by rule."""
+    v = V.vectors(spark, sf)
+    out = Q.project(v, "vector", Q.fit_pca(v, "vector", 4))
+    return rounded(out.select("row_id", F.posexplode("components").alias("pos", "x")))
+
+
+_dim = "select i, j, sum(e[i] * e[j]) - count(*) * avg(e[i]) * avg(e[j]) as g from emb, range(1, 65) a(i), range(1, 65) b(j) group by 1, 2"
+
+
+@query("pca_variance", with_views("emb", f"select round(sum(g) filter (i = j) / ((select count(*) from emb) - 1), 6) as total, round(sqrt(sum(g * g)) / ((select count(*) from emb) - 1), 6) as size from ({_dim})"))
+def pca_variance(spark, sf):
+    """What all directions have in common with the covariances they come from: sum and root of the sum of squares of their variances."""
+    fitted = Q.fit_pca(V.vectors(spark, sf), "vector", 64)
+    return rounded(fitted.agg(F.sum("variance").alias("total"), F.sqrt(F.sum(F.col("variance") * F.col("variance"))).alias("size")))
 
 
 @query("normalize_masked", f"""with c as (select * from customer where c_mktsegment <> 'BUILDING')

@@ -26,28 +26,32 @@ def part_name(batch_id: int, kind: int) -> str:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """``schema`` lists the columns as DDL; ``order`` names those that make a row newer."""
+    """``schema`` lists the columns as DDL; ``order`` names those that make a row newer; buckets go by ``by``, some of the keys,
+    so that one lookup of those finds all their rows together."""
 
     path: str
     schema: str
     keys: Sequence[str]
     order: Sequence[str]
     buckets: int = 64
+    by: Sequence[str] | None = None
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(self.by or self.keys)), F.lit(self.buckets)).cast("int")
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Upsert one batch; its newest row of each key is kept. The same batch must bring the same keys again."""
         self._store(newest(rows, self.keys, self.order), part_name(batch_id, WRITTEN))
 
     def read(self, spark: SparkSession, asked: DataFrame | None = None) -> DataFrame:
-        """The newest row of every key, or of the keys of ``asked``, which limits the buckets that are read."""
+        """The newest row of every key, or of those that agree with ``asked`` in the columns buckets go by, which limits the
+        buckets that are read."""
         rows = self._rows(spark, self._touched(asked) if asked is not None else None)
         found = newest(rows, self.keys, [*self.order, "part"]).drop("bucket", "part")
         if asked is None:
             return found
-        return found.join(asked.select(*self.keys).distinct(), list(self.keys), "left_semi")
+        by = list(self.by or self.keys)
+        return found.join(asked.select(*by).distinct(), by, "left_semi")
 
     def compact(self, spark: SparkSession, above: int = 8, keep: Column | None = None) -> list[int]:
         """Reduce buckets of more than ``above`` parts to one part each, dropping rows that ``keep`` rules out; their numbers."""

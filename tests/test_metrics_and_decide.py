@@ -15,6 +15,7 @@ from panelrec.operators import metrics as M
 from panelrec.operators import models as O
 from panelrec.operators import reports as R
 from panelrec.operators import sweeps as W
+from panelrec.operators.fitted import scale_quantile
 from panelrec.operators.knn import knn_class_probs
 
 
@@ -269,7 +270,7 @@ def test_scalers(spark):
     s = spark.createDataFrame([(-1.0,), (0.0,), (math.e - 1,)], "x double").select(S.signed_log(F.col("x")).alias("y"))
     assert [r["y"] for r in s.collect()] == pytest.approx([-math.log(2), 0.0, 1.0])
     q = spark.createDataFrame([(float(x),) for x in (3, 1, 2, 2, 5)], "x double")
-    got = sorted(r["x"] for r in E.scale_quantile(q, "x").collect())
+    got = sorted(r["x"] for r in scale_quantile(q, ["x"]).collect())
     assert got == pytest.approx([-1.0, -0.25, -0.25, 0.5, 1.0])
     n = spark.createDataFrame([(0.975,), (0.5,), (0.001,)], "p double").select(S.inverse_normal(F.col("p")).alias("z"))
     assert [r["z"] for r in n.collect()] == pytest.approx([1.959964, 0.0, -3.090232], abs=1e-5)
