@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -231,6 +232,31 @@ def test_ascent_beats_its_start(cohort):
     assert hold(D.gate_per_class(thetas)) >= hold(D.gate_odds(1.5))
 
 
+def test_ascent_ends_where_no_single_class_improves(spark):
+    rng = random.Random(6)
+    levels = (1.0, 1.5, 2.5, 4.0)
+    rows = [(i, rng.randint(1, 3), rng.choice([0, 0, 1, 2, 3]), rng.uniform(0.5, 5.0)) for i in range(600)]
+    table = spark.createDataFrame(rows, "i int, cand int, y int, odds double")
+    fitted = W.fit_coordinate_ascent(table, ["i"], n_classes=4, thetas=levels, floor=15.0, passes=50).collect()
+    sides = {r["i"]: r["half"] < "8" for r in table.select("i", F.substring(S.draw_key(42, F.col("i")), 1, 1).alias("half")).collect()}
+
+    def measured(thetas, side):
+        part = [r for r in rows if sides[r[0]] == side]
+        fire = [r for r in part if r[3] > thetas[r[1]]]
+        top1 = 100 * sum(r[1] == r[2] for r in fire) / sum(r[2] > 0 for r in part)
+        quiet = sum(r[2] == 0 for r in part)
+        return top1, 100 * (quiet - sum(r[2] == 0 for r in fire)) / quiet
+
+    def score(thetas):
+        top1, hold = measured(thetas, True)
+        return hold - 10 * max(15.0 - top1, 0)
+
+    found = {r["cls"]: r["theta"] for r in fitted}
+    assert score(found) >= score(dict.fromkeys(found, 1.5))
+    assert all(score({**found, c: t}) <= score(found) + 1e-9 for c in found for t in levels)
+    assert (fitted[0]["val_buyer_top1"], fitted[0]["val_hold"]) == pytest.approx(measured(found, False), abs=0.006)
+
+
 def test_tier_thresholds(spark):
     t = spark.createDataFrame([(1, 80.0), (2, 50.0), (3, 30.0), (4, 0.0)], "cls int, prec_vs_nb double")
     assert [r["theta"] for r in W.fit_tier_thresholds(t).orderBy("cls").collect()] == [1.0, 1.5, 2.5, 3.5]
