@@ -192,6 +192,29 @@ def sketch_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
 
 
+def near_sketches(sketches: list[bytes], u: np.ndarray, v: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places of the pairs (u, v) whose sketches differ in at most ``most`` bits.
+
+    Sketches folded to few bits rule out most pairs; those left are compared at twice the length, up to the shorter's own.
+    """
+    words = [np.frombuffer(x, np.uint64) for x in sketches]
+    length = np.array([len(w) for w in words])
+    keep, size = np.arange(len(u)), 4
+    while len(keep):
+        folded = np.stack([np.bitwise_xor.reduce(w.reshape(-1, min(size, len(w))), 0) if len(w) >= size else np.zeros(size, np.uint64) for w in words])
+        fits = np.minimum(length[u[keep]], length[v[keep]]) >= size  # shorter sketches were compared whole before
+        apart = np.zeros(len(keep), np.int64)
+        step = max(1, (1 << 18) // size)
+        for at in range(0, len(keep), step):
+            part = keep[at:at + step]
+            apart[at:at + step] = np.bitwise_count(folded[u[part]] ^ folded[v[part]]).sum(1)
+        keep = keep[~fits | (apart <= most[keep])]
+        if not fits.any():
+            break
+        size *= 2
+    return keep
+
+
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
     """``(key, th, n_shingles, margin, node, sketch)`` of every document; empty sets have no node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,14 +297,10 @@ def unresolved_pairs(members: DataFrame, nodes: DataFrame, join: Join) -> DataFr
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         n, c, node = (frame[x].to_numpy() for x in ("n_shingles", "c", "node"))
-        bits = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, 4), 0) for x in frame["sketch"]])
-        apart = np.zeros((len(n), len(n)), np.int64)
-        for w in range(4):
-            apart += np.bitwise_count(bits[:, None, w] ^ bits[None, :, w])
-        most = (n[:, None] + n[None]) * (100 - join.percent) // (100 + join.percent)
-        near = (apart <= most) & (100 * np.minimum(n[:, None], n[None]) >= join.percent * np.maximum(n[:, None], n[None]))
-        u, v = np.nonzero(near & (c[:, None] != c[None]) & (node[:, None] < node[None]))
-        return pd.DataFrame({"u": node[u], "v": node[v]})
+        close = 100 * np.minimum(n[:, None], n[None]) >= join.percent * np.maximum(n[:, None], n[None])
+        u, v = np.nonzero(close & (c[:, None] != c[None]) & (node[:, None] < node[None]))
+        keep = near_sketches(frame["sketch"].tolist(), u, v, (n[u] + n[v]) * (100 - join.percent) // (100 + join.percent))
+        return pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]]})
 
     large = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").groupBy("sig", "i", "j").applyInPandas(compare, "u long, v long")
     return small.unionByName(large).distinct()
@@ -298,9 +317,10 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     base = staged(set_rows(docs, join))
     found = []
     for share in range(join.shares):  # one share of the signatures at a time is in shuffle files
-        signs = signature_rows(docs, join, share, join.shares)
+        signs = staged(signature_rows(docs, join, share, join.shares))
         shared = signs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("sig")
         found.append(staged(signs.join(shared, "sig")))
+        discard(signs)
     members = staged(reduce(DataFrame.unionByName, found).distinct())
     discard(*found)
     sizes = staged(base.where("node is not null").select("node", "n_shingles", "margin", "sketch").dropDuplicates(["node"]))

@@ -6,6 +6,7 @@ piece of its own, so memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+LONG_WORD = 256
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -115,8 +117,14 @@ def words(texts: Texts, outside: np.ndarray = _SPACE) -> Words:
 
 
 def word_hashes(texts: Texts, found: Words, lower: bool = False) -> np.ndarray:
+    """Hash of each word; words of ``LONG_WORD`` bytes and more by a cryptographic hash, as the running one, being modulo
+    a power of two, has made-up collisions from 1,024 bytes on."""
     data = _LOWER[texts.data] if lower else texts.data
-    return span_hash(prefix(_BYTE[data]), found.begin, found.end)
+    out = span_hash(prefix(_BYTE[data]), found.begin, found.end)
+    for i in np.flatnonzero(found.end - found.begin >= LONG_WORD):
+        word = hashlib.blake2b(data[found.begin[i]:found.end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(word, "little")
+    return out
 
 
 def units(texts: Texts, unit: str) -> tuple[np.ndarray, np.ndarray]:
