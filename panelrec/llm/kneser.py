@@ -18,7 +18,6 @@ has probability 1. Texts and words of any length are read whole. Columns other t
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 import uuid
@@ -37,7 +36,6 @@ from panelrec.llm.symbols import BASE, mix, pieces, word_hashes, words
 from panelrec.session import checkpoint_root
 
 END, START = mix(np.array([101, 202], np.uint64))
-LONG_WORD = 256  # bytes; longer words are hashed by a cryptographic hash, as a running hash has made-up collisions there
 RAW = 0  # the order that holds plain word counts
 SENT = "what string, k int, shard int, batch long, data binary"
 NOTHING = np.zeros(0, np.uint64)
@@ -97,21 +95,31 @@ def distinct(grams: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.nd
     """Different n-grams, sorted by context: ``(grams, summed weights, order of the input by n-gram, first of each there)``."""
     if not grams.shape[1]:
         return grams, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    context = context_of(grams)
-    # the high bits are the context's, so that runs of one context lie together and in the order of shards
-    key = (context & np.uint64(0xFFFFFFFF00000000)) | (gram_of(context, grams[-1]) & np.uint64(0xFFFFFFFF)) if len(grams) > 1 else grams[0]
-    order = np.argsort(key, kind="stable")
-    grams = grams[:, order]
-    new = np.concatenate(([True], (grams[:, 1:] != grams[:, :-1]).any(0)))
-    if len(grams) > 1:  # different n-grams may share the key and alternate
-        same_key = key[order][1:] == key[order][:-1]
-        if (new[1:] & same_key).any():
-            exact = np.lexsort((*grams[::-1], key[order]))
-            order, grams = order[exact], grams[:, exact]
-            new = np.concatenate(([True], (grams[:, 1:] != grams[:, :-1]).any(0)))
+    if len(grams) == 1:
+        key = grams[0]
+    else:  # the high bits are the context's, so that runs of one context lie together and in the order of shards
+        context = context_of(grams)
+        key = (context & np.uint64(0xFFFFFFFF00000000)) | (gram_of(context, grams[-1]) & np.uint64(0xFFFFFFFF))
+    order = np.argsort(key)
+    key = key[order]
+    grams = np.stack([np.take(g, order) for g in grams])
+    new = changes(grams)
+    if len(grams) > 1 and (new[1:] & (key[1:] == key[:-1])).any():  # different n-grams may share the key and alternate
+        exact = np.lexsort((*grams[::-1], key))
+        order, grams = order[exact], grams[:, exact]
+        new = changes(grams)
     first = np.flatnonzero(new)
     total = np.diff(np.append(first, len(order))) if weight is None else np.add.reduceat(weight[order], first)
-    return grams[:, first], total, order, first
+    return np.stack([np.take(g, first) for g in grams]), total, order, first
+
+
+def changes(grams: np.ndarray) -> np.ndarray:
+    """Whether each n-gram differs from the one before it."""
+    out = np.ones(grams.shape[1], bool)
+    out[1:] = False
+    for column in grams:
+        out[1:] |= column[1:] != column[:-1]
+    return out
 
 
 def tokens(batches: Iterator[pa.RecordBatch], pads: int, flush: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,14 +130,11 @@ def tokens(batches: Iterator[pa.RecordBatch], pads: int, flush: int) -> Iterator
     def out():
         sizes = np.concatenate(counts)
         real = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(sizes) + 1) * pads, sizes)
-        return pa.Table.from_batches(held), np.concatenate(parts), real, np.repeat(np.arange(len(sizes)), sizes)
+        return pa.Table.from_batches(held), np.concatenate(parts), real, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     for texts in pieces(batches):
         found = words(texts)
         hashes = word_hashes(texts, found, lower=True)
-        for i in np.flatnonzero(found.end - found.begin >= LONG_WORD):
-            word = texts.data[found.begin[i]:found.end[i]].tobytes().lower()
-            hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         size = np.diff(found.starts) + 1
         padded = np.full(len(hashes) + len(size) * (pads + 1), START, np.uint64)
         text = np.repeat(np.arange(len(size)), size - 1)
@@ -153,18 +158,34 @@ def grams_of(sequence: np.ndarray, real: np.ndarray, k: int) -> np.ndarray:
 # ---- blocks between tasks ------------------------------------------------------------------------------------------
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.int64(a.nbytes).tobytes() + np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays one after the other, each with its type and size; whole numbers in as few bytes as the largest needs."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu" and a.dtype != np.uint64 and (not len(a) or a.min() >= 0):
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        out += [a.dtype.str.encode().ljust(8), np.int64(a.nbytes).tobytes(), np.ascontiguousarray(a).tobytes(), bytes(-a.nbytes % 8)]
+    return b"".join(out)
 
 
-def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+def unpacked(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
-    for kind in kinds:
-        n = int(np.frombuffer(data, np.int64, 1, at)[0])
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
+    while at < len(data):
+        kind, n = np.dtype(data[at:at + 8].decode().strip()), int(np.frombuffer(data, np.int64, 1, at + 8)[0])
+        out.append(np.frombuffer(data, kind, n // kind.itemsize, at + 16))
+        at += 16 + n + -n % 8
     return out
 
 
+def runs_of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams as contexts, each once for a run of its followers, lengths of the runs, and last words."""
+    first = np.flatnonzero(changes(grams[:-1])) if len(grams) > 1 and grams.shape[1] else np.arange(min(1, grams.shape[1]))
+    return grams[:-1, first].ravel(), np.diff(np.append(first, grams.shape[1])), grams[-1]
+
+
+def grams_from(contexts: np.ndarray, runs: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([np.repeat(contexts.reshape(k - 1, -1), runs, 1), last[None, :]]) if k > 1 else last[None, :]
+
+
 def blocks(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * 5
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
@@ -183,7 +204,7 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def counted(grams: np.ndarray, n: np.ndarray, what: str, setup: Setup, origin: int = -1) -> Iterator[tuple]:
     for shard, at in by_shard(shard_of(grams, setup)):
-        yield what, len(grams), shard, origin, packed(grams[:, at], n[at].astype(np.int64))
+        yield what, len(grams), shard, origin, packed(*runs_of(grams[:, at]), n[at])
 
 
 # ---- the folder of arrays ------------------------------------------------------------------------------------------
@@ -236,10 +257,10 @@ def _merge(setup: Setup):
     """Counts of one order and shard put together and saved; sent on are figures, suffixes and totals of spread contexts."""
     def run(table: pa.Table) -> pa.Table:
         k, shard = table["k"][0].as_py(), table["shard"][0].as_py()
-        parts = [unpacked(d.as_py(), np.uint64, np.int64) for d in table["data"]]
-        grams = np.concatenate([g.reshape(max(k, 1), -1) for g, _ in parts], 1)
+        parts = [unpacked(d.as_py()) for d in table["data"]]
+        grams = np.concatenate([grams_from(*g, max(k, 1)) for *g, _ in parts], 1)
         # a suffix's blocks come from different shards, one n-gram of each suffix and shard: their sum counts left words
-        grams, n, _, _ = distinct(grams, np.concatenate([c for _, c in parts]))
+        grams, n, _, _ = distinct(grams, np.concatenate([c.astype(np.int64) for *_, c in parts]))
         if k > 1:  # whole contexts together
             order = np.argsort(context_of(grams), kind="stable")
             grams, n = grams[:, order], n[order]
@@ -249,12 +270,10 @@ def _merge(setup: Setup):
             save(setup.folder, f"{k}-{shard}-words", grams[0])
             save(setup.folder, f"{k}-{shard}-n", n)
         else:
-            first = np.flatnonzero(np.concatenate(([True], (grams[:-1, 1:] != grams[:-1, :-1]).any(0))))
+            first = np.flatnonzero(changes(grams[:-1]))
             counts = f"{setup.folder}/counts"
-            save(counts, f"{k}-{shard}-contexts", grams[:-1, first])
-            save(counts, f"{k}-{shard}-runs", np.diff(np.append(first, len(n))))
-            save(counts, f"{k}-{shard}-words", grams[-1])
-            save(counts, f"{k}-{shard}-n", n.astype(np.uint32) if n.max() < 1 << 32 else n)
+            for name, array in zip(("contexts", "runs", "words", "n"), (*runs_of(grams), n)):
+                save(counts, f"{k}-{shard}-{name}", array if array.dtype == np.uint64 else array.astype(np.min_scalar_type(int(array.max()))))
             suffixes, left, _, _ = distinct(grams[1:])
             rows += counted(suffixes, left, "suffix", setup, shard)
             wide = spread(grams[:, first], setup)
@@ -289,14 +308,10 @@ def discounts(figures: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.0), i + 1.0) for i, d in enumerate(raw))])
 
 
-def _gather(rows: DataFrame, k: int, what: str, kinds: tuple[type, ...]) -> list[list[np.ndarray]]:
-    return [unpacked(bytes(r.data), *kinds) for r in rows.where((F.col("k") == k) & (F.col("what") == what)).select("data").collect()]
-
-
 def _summed(rows: DataFrame, k: int) -> np.ndarray:
     """Figures of an order: seven numbers from each shard, added up."""
-    parts = _gather(rows, k, "figures", (np.int64,))
-    return np.sum([p[0] for p in parts], 0) if parts else np.zeros(7, np.int64)
+    parts = rows.where((F.col("k") == k) & (F.col("what") == "figures")).select("data").collect()
+    return np.sum([unpacked(bytes(p.data))[0].astype(np.int64) for p in parts], 0) if parts else np.zeros(7, np.int64)
 
 
 # ---- probabilities -------------------------------------------------------------------------------------------------
@@ -325,7 +340,7 @@ def _lowest(setup: Setup, figures: np.ndarray, unknown: float):
 
 def _answers(table: pa.Table, k: int, known: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
     for origin, data in zip(table["batch"].to_pylist(), table["data"]):
-        grams = unpacked(data.as_py(), np.uint64, np.int64)[0].reshape(k, -1)
+        grams = grams_from(*unpacked(data.as_py())[:3], k)
         keys = grams[0] if k == 1 else gram_of(context_of(grams), grams[-1])
         yield "lower", k + 1, origin, -1, packed(keys, p[found_in(known, keys)[1]].astype(np.float64))
 
@@ -337,14 +352,15 @@ def _interpolate(setup: Setup, k: int, figures: np.ndarray, wide: tuple[np.ndarr
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         contexts, runs, last, n = (load(f"{setup.folder}/counts", f"{k}-{shard}-{x}") for x in ("contexts", "runs", "words", "n"))
-        grams = np.concatenate([np.repeat(contexts, runs, 1), last[None, :]])
+        runs = runs.astype(np.int64)
+        grams = grams_from(contexts, runs, last, k)
         first = np.cumsum(runs) - runs
         stats, keys = totals(n, first), context_of(grams[:, first])
         hit, at = found_in(wide[0], keys)
         stats[:, hit] = wide[1][:, at[hit]]
         backoff = (d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]) / stats[0]
         is_lower = np.array(table["what"].to_pylist()) == "lower"
-        sent = [unpacked(x.as_py(), np.uint64, np.float64) for x, low in zip(table["data"], is_lower) if low]
+        sent = [unpacked(x.as_py()) for x, low in zip(table["data"], is_lower) if low]
         names, values = (np.concatenate(x) for x in zip(*sent))
         order = np.argsort(names)
         tail = grams[1:]
@@ -412,8 +428,8 @@ def _wide(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                keys, stats = unpacked(data.as_py(), np.uint64, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, stats.reshape(4, -1))], names=["c", "t", "a", "b", "m"])
+                keys, stats = unpacked(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, stats.reshape(4, -1).astype(np.int64))], names=["c", "t", "a", "b", "m"])
 
     found = rows.where((F.col("k") == k) & (F.col("what") == "totals")).select("data").mapInArrow(listed, "c long, t long, a long, b long, m long")
     table = found.groupBy("c").agg(*[F.sum(x).alias(x) for x in "tabm"]).toArrow()
@@ -434,7 +450,7 @@ def _ask(setup: Setup, k: int, this_round: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
         for rows, sequence, real, text in tokens(batches, setup.order - 1, setup.flush_tokens):
-            ids = packed(rows["key"].to_numpy(), rows["th"].to_numpy(), np.bincount(text, minlength=rows.num_rows))
+            ids = packed(rows["key"].to_numpy(), rows["th"].to_numpy().view(np.uint64), np.bincount(text, minlength=rows.num_rows))
             out = [("texts", k, batch % setup.shards, batch, ids)]
             grams, n, order, _ = distinct(grams_of(sequence, real, max(k, 1)))
             shard = shard_of(grams, setup)
@@ -448,68 +464,80 @@ def _ask(setup: Setup, k: int, this_round: int):
     return run
 
 
-def _occurring(grams: np.ndarray, n: np.ndarray, text: np.ndarray, what: str, k: int, shard: np.ndarray, batch: int) -> Iterator[tuple]:
-    n = n.astype(np.int64)
+def _occurring(grams: np.ndarray, n: np.ndarray, text: np.ndarray, what: str, k: int, shard: np.ndarray, batch: int, owner: np.ndarray | None = None) -> Iterator[tuple]:
+    """A row for each shard: n-grams, how often each occurs, and the texts it occurs in; ``owner`` is the batch of each n-gram
+    where they are of several."""
     begin = np.cumsum(n) - n
     for s, at in by_shard(shard):
         m = n[at]
         places = np.repeat(begin[at] - np.cumsum(m) + m, m) + np.arange(m.sum())
-        yield what, k, s, batch, packed(grams[:, at], m.astype(np.uint32), text[places].astype(np.uint32))
+        yield what, k, s, batch, packed(*runs_of(grams[:, at]), m, text[places], *([] if owner is None else [owner[at]]))
 
 
 def _answer(model: Model, k: int):
-    """Sums over texts of what a shard's arrays say about their n-grams, and n-grams it does not know for the order below."""
+    """Sums over texts of what a shard's arrays say about their n-grams; n-grams it does not know go to the order below,
+    in one row for each shard there."""
     setup = model.setup
 
     def run(table: pa.Table) -> pa.Table:
-        shard, rows = table["shard"][0].as_py(), []
+        shard, rows, lost = table["shard"][0].as_py(), [], []
         if k < 2:
-            known = load(setup.folder, f"1-{shard}-words") if k else load(setup.folder, f"0-{shard}-words")
-            p = load(setup.folder, f"1-{shard}-p") if k else load(setup.folder, f"0-{shard}-n")
+            known = load(setup.folder, f"{k}-{shard}-words")
+            p = load(setup.folder, f"1-{shard}-p" if k else f"0-{shard}-n")
         else:
             known, p, contexts, backoff = (load(setup.folder, f"{k}-{shard}-{x}") for x in ("grams", "p", "keys", "backoff"))
+        passed = []
         for what, batch, data in zip(table["what"].to_pylist(), table["batch"].to_pylist(), table["data"]):
             if what == "texts":
                 rows.append((what, k, shard, batch, data.as_py()))
                 continue
-            flat, n, text = unpacked(data.as_py(), np.uint64, np.uint32, np.uint32)
-            grams = flat.reshape(max(k, 1), -1)
+            *flat, n, text = unpacked(data.as_py())[:5]
+            n, grams = n.astype(np.int64), grams_from(*flat, max(k, 1))
             context = context_of(grams)
             hit, at = found_in(known, grams[0] if k < 2 else gram_of(context, grams[-1]))
-            value = np.full(len(hit), model.unknown)
+            value = np.full(len(hit), model.unknown if k else 0.0)
+            owner = unpacked(data.as_py())[5].astype(np.int64) if what == "pass" else np.full(len(hit), batch)
             if k > 1:
                 there, place = found_in(contexts, context)
                 value = np.zeros(len(hit))
                 value[there] = backoff[place[there]]
-                lost = np.flatnonzero(~hit)
-                if len(lost):
-                    occurs = np.repeat(~hit, n)
-                    rows += _occurring(grams[1:, lost], n[lost], text[occurs], "ask", k - 1, shard_of(grams[1:, lost], setup), batch)
-            if k == RAW:
-                value = np.zeros(len(hit))
+                if not hit.all():
+                    lost.append((grams[1:, ~hit], n[~hit], text[np.repeat(~hit, n)].astype(np.int64), owner[~hit]))
             value[hit] = p[at[hit]]
             if k == RAW:
                 value = np.log10((value + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-            texts = np.flatnonzero(np.bincount(text))
-            sums = np.bincount(text, np.repeat(value, n))[texts]
-            seen = np.bincount(text, np.repeat(hit, n))[texts].astype(np.int64)
-            rows.append(("sum", k, shard, batch, packed(texts.astype(np.uint32), sums, seen)))
+            if what == "pass":
+                passed.append((np.repeat(owner, n), text.astype(np.int64), np.repeat(value, n), np.repeat(hit, n)))
+            else:
+                rows.append(("sum", k, shard, batch, packed(*_by_text(text, np.repeat(value, n), np.repeat(hit, n)))))
+        if passed:
+            owner, text, value, hit = (np.concatenate(x) for x in zip(*passed))
+            for batch, at in by_shard(owner):
+                rows.append(("sum", k, shard, batch, packed(*_by_text(text[at], value[at], hit[at]))))
+        if lost:
+            grams, n, text, owner = (np.concatenate(x, -1) for x in zip(*lost))
+            rows += _occurring(grams, n, text, "pass", k - 1, shard_of(grams, setup), -1, owner)
         return pa.Table.from_batches([blocks(rows)])
 
     return run
 
 
+def _by_text(text: np.ndarray, value: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts = np.flatnonzero(np.bincount(text))
+    return texts, np.bincount(text, value)[texts], np.bincount(text, hit)[texts].astype(np.int64)
+
+
 def _per_text(table: pa.Table) -> pa.Table:
     """Ids and sums of one batch of texts from all shards."""
     what, data = table["what"].to_pylist(), table["data"]
-    keys, th, size = next(unpacked(d.as_py(), np.int64, np.int64, np.int64) for w, d in zip(what, data) if w == "texts")
+    keys, th, size = next(unpacked(d.as_py()) for w, d in zip(what, data) if w == "texts")
     total, seen = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
     for w, d in zip(what, data):
         if w == "sum":
-            text, sums, hits = unpacked(d.as_py(), np.uint32, np.float64, np.int64)
+            text, sums, hits = unpacked(d.as_py())
             total[text] += sums
             seen[text] += hits
-    return pa.table({"key": keys, "th": th, "n_tokens": size, "total": total, "seen": seen})
+    return pa.table({"key": keys.astype(np.int64), "th": th.view(np.int64), "n_tokens": size.astype(np.int64), "total": total, "seen": seen})
 
 
 def _sums(model: Model, keyed: DataFrame, k: int, this_round: int) -> list[DataFrame]:
@@ -521,13 +549,13 @@ def _sums(model: Model, keyed: DataFrame, k: int, this_round: int) -> list[DataF
         if k < 2:
             break
         k -= 1
-        asked = tables[-1].where(f"what = 'ask' and k = {k}")
-    found = staged(_union(tables).where("what != 'ask'").groupBy("batch").applyInArrow(_per_text, "key long, th long, n_tokens long, total double, seen long"))
+        asked = tables[-1].where("what = 'pass'")
+    found = staged(_union(tables).where("what != 'pass'").groupBy("batch").applyInArrow(_per_text, "key long, th long, n_tokens long, total double, seen long"))
     discard(*tables)
     return found
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, shard_bytes: int = 16 << 20, flush_tokens: int = 2_000_000, rounds: int = 2,
+def scored(docs: DataFrame, held_out: Column, order: int = 2, shard_bytes: int = 5 << 20, flush_tokens: int = 400_000, rounds: int = 1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learnt from rows not held out; staged.
 
