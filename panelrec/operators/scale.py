@@ -1,6 +1,6 @@
 """Building blocks that keep joins, ranks and quantiles safe under skew.
 
-* ``join_lookup``: broadcast behind a row count, salted join of hot keys beyond it.
+* ``join_lookup``: a lazy null-safe join with a keyed table; size and skew are settled at run time.
 * ``hash_segments``: exact rank cuts of a reproducible random order, without a sort.
 * ``running_totals``: exact prefix sums over an ordered column, by value buckets.
 * ``group_quantiles``: exact interpolated quantiles of groups of any size.
@@ -21,8 +21,6 @@ from panelrec.functions.scalars import draw_key
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 SORT_ROWS = 1_000_000
-SALTS = 64
-HOT_SHARE = 512
 
 
 def _row_bytes(kind: T.DataType) -> int:
@@ -48,62 +46,19 @@ def bounded_table(df: DataFrame, max_rows: int | None = None) -> DataFrame | Non
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than 1/share of the rows; at most ``share`` of them exist."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.count()
-    return counts.where(F.col("_n") * share > rows).select(*keys)
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
-
-
-def join_lookup(
-    fact: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int | None = None,
-) -> DataFrame:
+def join_lookup(fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a large table with a keyed one; null keys match null keys.
 
-    ``lookup`` holds one row per key. Within the bound of ``bounded_table`` it is
-    broadcast; a larger one is shuffled, with hot keys spread over ``SALTS`` parts.
+    ``lookup`` holds one row per key and no other column of ``fact``'s. Nothing runs while the plan is built: the planner
+    broadcasts the lookup where it, or at run time its real size, is within ``spark.sql.autoBroadcastJoinThreshold``;
+    beyond that adaptive execution splits the parts of a hot key by the blocks they were written in, so rows of one key, even
+    equal rows, spread over tasks (``build_session`` lets it do so where a later step shuffles again).
     """
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys]
-    small = bounded_table(lookup, max_rows)
-    if small is None:
-        return _salted_join(fact, lookup, keys, values, how)
-    right = F.broadcast(small.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
-    out = fact.join(right, _same(fact, right, keys), how)
-    return out.select(*[fact[c] for c in fact.columns], *values)
-
-
-def _salted_join(
-    fact: DataFrame, lookup: DataFrame, keys: list[str], values: list[str], how: str
-) -> DataFrame:
-    hot = F.broadcast(
-        hot_keys(fact, keys)
-        .withColumnsRenamed({k: f"_r_{k}" for k in keys})
-        .withColumn("_hot", F.lit(True))
-    )
-    spread = F.pmod(F.xxhash64(*[fact[c] for c in fact.columns]), F.lit(SALTS)).cast("int")
-    left = fact.join(hot, _same(fact, hot, keys), "left").select(
-        *[fact[c] for c in fact.columns],
-        F.when(F.col("_hot"), spread).otherwise(F.lit(0)).alias("_salt"),
-    )
-    parts = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
-    right = (
-        lookup.join(hot, _same(lookup, hot, keys), "left")
-        .select(*[lookup[c] for c in lookup.columns], F.explode(parts).alias("_r_salt"))
-        .withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    )
-    joined = left.join(
-        right, _same(left, right, keys) & (left["_salt"] == right["_r_salt"]), how
-    )
-    return joined.select(*[left[c] for c in fact.columns], *values)
+    right = lookup.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *values)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return fact.join(right, same, how).select(*fact.columns, *values)
 
 
 # --------------------------------------------------------------------------

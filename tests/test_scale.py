@@ -25,32 +25,65 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "id long, g string, x double").repartition(5)
 
 
-def test_join_lookup_paths_agree(spark, skewed):
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """No broadcast, and sizes at which the small tables here count as skewed."""
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def jobs_of(spark, build):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "")
+    out = build()
+    seen = len(tracker.getJobIdsForGroup("plan"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, seen
+
+
+def test_join_lookup_paths_agree(spark, skewed, shuffled_joins):
     rows, fact = skewed
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3), (None, 9)], "g string, v int")
     with_null = fact.unionByName(spark.createDataFrame([(-1, None, 0.0)], "id long, g string, x double"))
+    known = {"hot": 1, "k3": 2, "k6": 3, None: 9}
     for how in ("left", "inner"):
-        small = Z.join_lookup(with_null, lookup, ["g"], how).collect()
-        large = Z.join_lookup(with_null, lookup, ["g"], how, max_rows=1).collect()
-        assert sorted(map(str, small)) == sorted(map(str, large))
-    assert len(Z.join_lookup(with_null, lookup, ["g"], max_rows=1).collect()) == 3001
-    assert Z.join_lookup(with_null, lookup, ["g"], max_rows=1).where("id = -1").first()["v"] == 9
+        out, jobs = jobs_of(spark, lambda: Z.join_lookup(with_null, lookup, ["g"], how))
+        assert jobs == 0 and out.columns == ["id", "g", "x", "v"]
+        want = [(*r, known.get(r[1])) for r in [*rows, (-1, None, 0.0)] if how == "left" or r[1] in known]
+        large = sorted(map(str, map(tuple, out.collect())))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        small = sorted(map(str, map(tuple, Z.join_lookup(with_null, lookup, ["g"], how).collect())))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert small == large == sorted(map(str, want))
+
+
+def test_hot_key_of_equal_rows_is_split(spark, shuffled_joins):
+    fact = spark.range(40_000).selectExpr("'hot' as g", "1 as x").unionByName(spark.range(200).selectExpr("concat('k', id) as g", "2 as x")).repartition(8)
+    counts = fact.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = Z.join_lookup(fact, counts, ["g"]).groupBy("x").agg(F.sum("n").alias("s"))
+    got = {r.x: r.s for r in out.collect()}
+    assert got == {1: 40_000 * 40_000, 2: 200}
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_salted_join_on_table_derived_lookup(skewed):
+def test_join_on_table_derived_lookup(skewed, shuffled_joins):
     _, fact = skewed
     counts = fact.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    out = Z.join_lookup(fact, counts, ["g"], "inner", max_rows=1)
+    out = Z.join_lookup(fact, counts, ["g"], "inner")
     assert out.columns == ["id", "g", "x", "n"] and out.count() == 3000
     assert out.where("g = 'hot'").select("n").distinct().first()[0] == 2000
 
 
-def test_hot_keys_found(skewed):
-    _, fact = skewed
-    assert "hot" in {r[0] for r in Z.hot_keys(fact, ["g"], share=4).collect()}
-    assert Z.hot_keys(fact, ["g"], share=4).count() == 1
-
-
 @pytest.mark.parametrize("prefix", [1, 2, 4])
 def test_hash_segments_match_sorting(skewed, prefix):
     rows, fact = skewed
