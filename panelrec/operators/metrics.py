@@ -134,20 +134,17 @@ def ece(df: DataFrame, probs: str, label: str, bins: int = 10) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, label: str, n_classes: int) -> DataFrame:
-    """Count and share of each class 0..n-1, absent ones as zero."""
-    counts = df.groupBy(F.col(label).cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    classes = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("cls"))
-    full = F.broadcast(classes).join(counts, "cls", "left").select(
-        "cls", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    """Count and share of each class 0..n-1, absent ones as zero, and of every other label there is; nulls are no label."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    classes = df.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("cls"), F.lit(0).cast("long").alias("n"))
+    full = counts.unionByName(classes).groupBy("cls").agg(F.sum("n").alias("n"))
     whole = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return full.select("cls", "n", F.when(whole > 0, F.col("n") / whole).otherwise(0.0).alias("share"))
 
 
 def _pairs(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    return expected.select("cls", F.col("share").alias("p")).join(
-        actual.select("cls", F.col("share").alias("q")), "cls"
-    )
+    both = expected.select("cls", F.col("share").alias("p")).join(actual.select("cls", F.col("share").alias("q")), "cls", "full")
+    return both.select("cls", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
 def psi(expected: DataFrame, actual: DataFrame, eps: float = 1e-4) -> DataFrame:

@@ -31,12 +31,14 @@ def iqm(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return summed.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("iqm"))
 
 
-def pivot_fill(df: DataFrame, row: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
-    """One column per name; a missing cell gets its row's mean.
+def pivot_fill(df: DataFrame, row: str, column: str, value: str, names: Sequence[str] | None = None) -> DataFrame:
+    """One column per name, those of the table unless given; a missing cell gets its row's mean.
 
     Cells are added as decimals of 12 places, so that the mean does not depend on their order; rows with a cell
     that has no such decimal (not finite, or 1e16 and more) are added as doubles.
     """
+    if names is None:  # names become columns, so there are few
+        names = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().orderBy(column).collect()]
     wide = df.groupBy(row).pivot(column, list(names)).agg(F.avg(value))
     cells = F.array_compact(F.array(*[F.col(f"`{n}`").cast("double") for n in names]))
     exact = F.aggregate(

@@ -164,7 +164,7 @@ _brands = [f"Brand#{i}" for i in range(1, 26)]
     f"'{b}'" for b in _brands) + ") group by r2.name)) as rm from results group by suite, fold)"))
 def pivot_fill(spark, sf):
     t = V.results(spark, sf).withColumn("suite_fold", F.concat_ws("/", "suite", F.col("fold").cast("string")))
-    return rounded(R.pivot_fill(t, "suite_fold", "name", "metric", _brands))
+    return rounded(R.pivot_fill(t, "suite_fold", "name", "metric"))
 
 
 REPS = 200

@@ -232,6 +232,17 @@ def test_ascent_beats_its_start(cohort):
     assert hold(D.gate_per_class(thetas)) >= hold(D.gate_odds(1.5))
 
 
+def test_labels_and_names_beyond_the_expected_are_kept(spark):
+    t = spark.createDataFrame([(0,), (0,), (2,), (7,), (-1,), (None,)], "y int")
+    got = {r.cls: (r.n, r.share) for r in M.class_distribution(t, "y", 4).collect()}
+    assert got == {0: (2, 0.4), 1: (0, 0.0), 2: (1, 0.2), 3: (0, 0.0), 7: (1, 0.2), -1: (1, 0.2)}
+    other = M.class_distribution(spark.createDataFrame([(0,), (5,)], "y int"), "y", 4)
+    assert M.psi(M.class_distribution(t, "y", 4), other).first()[0] > 0
+    runs = spark.createDataFrame([("a", "m1", 1.0), ("a", "m 2", 3.0), ("b", "m1", 5.0)], "d string, name string, v double")
+    rows = {r["d"]: (r["m 2"], r["m1"]) for r in R.pivot_fill(runs, "d", "name", "v").collect()}
+    assert rows == {"a": (3.0, 1.0), "b": (5.0, 5.0)}
+
+
 def test_ascent_ends_where_no_single_class_improves(spark):
     rng = random.Random(6)
     levels = (1.0, 1.5, 2.5, 4.0)
