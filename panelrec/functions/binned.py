@@ -41,7 +41,10 @@ def binned_mode(logits: Column, borders: Column) -> Column:
 
 
 def binned_quantile(logits: Column, borders: Column, level: Column) -> Column:
-    """Linear interpolation inside the first bin whose cumulative share reaches ``level``."""
+    """Linear interpolation inside the first bin whose cumulative share reaches ``level``.
+
+    A first bin without any share, as where all before the level underflow, gives its left border.
+    """
     start = F.struct(
         F.lit(0.0).alias("cum"), F.lit(0).alias("pos"),
         F.lit(None).cast("double").alias("out"),
@@ -53,7 +56,7 @@ def binned_quantile(logits: Column, borders: Column, level: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
             left, right = F.get(borders, acc["pos"]), F.get(borders, acc["pos"] + 1)
             here = (acc["cum"] + p >= level) | (acc["pos"] == last)
-            value = left + (right - left) * (level - acc["cum"]) / p
+            value = left + F.when(p > 0, (right - left) * (level - acc["cum"]) / p).otherwise(0.0)
             return F.struct(
                 (acc["cum"] + p).alias("cum"),
                 (acc["pos"] + 1).alias("pos"),

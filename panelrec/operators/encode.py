@@ -162,10 +162,15 @@ def scale_standard(df: DataFrame, columns: Sequence[str], fit: DataFrame | None
     })
 
 
+def _span(low: float | None, high: float | None) -> float:
+    """Distance to divide by; 1 where there is none, as in a column of one value or of nulls, which stay null."""
+    return 1.0 if low is None or high is None else (high - low) or 1.0
+
+
 def scale_minmax(df: DataFrame, columns: Sequence[str], low: float = -1.0, high: float = 1.0, fit: DataFrame | None = None) -> DataFrame:
     stats = fit_columns(fit if fit is not None else df, columns)
     return _each(df, {
-        c: (F.col(c).cast("double") - F.lit(s["min"])) / F.lit((s["max"] - s["min"]) or 1.0) * (high - low) + low
+        c: (F.col(c).cast("double") - F.lit(s["min"])) / F.lit(_span(s["min"], s["max"])) * (high - low) + low
         for c, s in stats.items()
     })
 
@@ -174,7 +179,7 @@ def scale_robust(df: DataFrame, columns: Sequence[str], fit: DataFrame | None =
     """Centre on the median, divide by the interquartile range."""
     stats = column_quantiles(fit if fit is not None else df, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     return _each(df, {
-        c: (F.col(c).cast("double") - F.lit(s["q2"])) / F.lit((s["q3"] - s["q1"]) or 1.0)
+        c: (F.col(c).cast("double") - F.lit(s["q2"])) / F.lit(_span(s["q1"], s["q3"]))
         for c, s in stats.items()
     })
 

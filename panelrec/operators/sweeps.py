@@ -191,9 +191,9 @@ def pareto_pick(results: DataFrame, floor: str, at_least: float, best: str, ties
 
 
 def verdict(results: DataFrame, key: str, baseline: str) -> DataFrame:
-    """Configurations better than the baseline row by the set margins."""
+    """Configurations better than the baseline row by the set margins; none without a baseline row."""
     base = results.where(F.col(key) == baseline).select("map7", "cold_map7", "buyer_top1").first()
-    gain = {c: F.col(c) - F.lit(base[c]) for c in ("map7", "cold_map7", "buyer_top1")}
+    gain = {c: F.col(c) - F.lit(base[c] if base else None).cast("double") for c in ("map7", "cold_map7", "buyer_top1")}
     better = (gain["map7"] > 0.005) | (gain["cold_map7"] > 0.02) | (
         (gain["buyer_top1"] > 2.0) & (gain["map7"] >= -0.01)
     )

@@ -39,7 +39,7 @@ CM_SPEC = PanelSpec(
 )
 
 #: Batches of the store are open-ended.
-LAST_DAY = "9999-12-31"
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -227,8 +227,8 @@ def day_vectors(spark: SparkSession, sf: str, first: str, last: str) -> DataFram
 
 
 def store_first(spark: SparkSession, sf: str) -> DataFrame:
-    """Users seen on the first day of the log."""
-    return day_vectors(spark, sf, "2024-01-01", "2024-01-01")
+    """Users seen up to the first day of the benchmark's log."""
+    return day_vectors(spark, sf, FIRST_DAY, "2024-01-01")
 
 
 def store_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,7 +237,7 @@ def store_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store_all(spark: SparkSession, sf: str) -> DataFrame:
-    return day_vectors(spark, sf, "2024-01-01", LAST_DAY)
+    return day_vectors(spark, sf, FIRST_DAY, LAST_DAY)
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,9 +375,9 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           join (select user_id, item, min((ts, event_id)) as first from claims where item is not null group by 1, 2) f
             on f.user_id = e.user_id and f.first < (e.ts, e.event_id) group by 1) using (event_id)"""),
     "decisions_held": (("actions_held",), DECISIONS_SQL.replace("SOURCE", "actions_held")),
-    "store_first": (("panel_ud",), _day_sql("2024-01-01", "2024-01-01")),
+    "store_first": (("panel_ud",), _day_sql(FIRST_DAY, "2024-01-01")),
     "store_batch": (("panel_ud",), _day_sql("2024-01-02", LAST_DAY)),
-    "store_all": (("panel_ud",), _day_sql("2024-01-01", LAST_DAY)),
+    "store_all": (("panel_ud",), _day_sql(FIRST_DAY, LAST_DAY)),
     "results": ((), """select p_type as suite, p_brand as name, p_size % 5 as fold,
         cast(sum(cast(p_retailprice as decimal(15,2))) as double) / count(p_retailprice) / 2000.0 as metric
         from part group by 1, 2, 3"""),

@@ -243,6 +243,18 @@ def test_labels_and_names_beyond_the_expected_are_kept(spark):
     assert rows == {"a": (3.0, 1.0), "b": (5.0, 5.0)}
 
 
+def test_columns_of_nulls_missing_baselines_and_empty_bins(spark):
+    t = spark.createDataFrame([(None, 1.0), (None, 3.0)], "x double, y double")
+    for scaled in (E.scale_minmax(t, ["x", "y"]), E.scale_robust(t, ["x", "y"]), E.scale_standard(t, ["x", "y"])):
+        rows = scaled.collect()
+        assert [r.x for r in rows] == [None, None] and rows[0].y == -rows[1].y
+    results = spark.createDataFrame([("a", 0.5, 0.5, 50.0)], "config string, map7 double, cold_map7 double, buyer_top1 double")
+    assert W.verdict(results, "config", "none").count() == 0
+    bins = spark.createDataFrame([([-1e6, 0.0, 0.0], [0.0, 1.0, 2.0, 3.0])], "z array<double>, b array<double>")
+    got = bins.select(B.binned_quantile(F.col("z"), F.col("b"), F.lit(0.0)).alias("low"), B.binned_quantile(F.col("z"), F.col("b"), F.lit(0.5)).alias("mid")).first()
+    assert got.low == 0.0 and got.mid == 2.0
+
+
 def test_ascent_ends_where_no_single_class_improves(spark):
     rng = random.Random(6)
     levels = (1.0, 1.5, 2.5, 4.0)
