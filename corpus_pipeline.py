@@ -39,9 +39,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to twice; those it does not reach go."""
-    mixed = mixing.mixed(mixing.sized(docs))
-    repeated = mixed.withColumn("__copy", F.explode(F.expr("if(copies > 0, sequence(1, copies), cast(array() as array<int>))")))
-    return repeated.select(*docs.columns)
+    held = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # columns of any name travel in the row
+    mixed = mixing.mixed(mixing.sized(held)).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def mixed(docs: DataFrame, seed: int = 11, weights=WEIGHTS, budget: float = BUDG
     """Add ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to every document (doc_id, source, size, quality).
 
     ``copies`` is the number of complete epochs plus one for documents that the rest of the budget reaches: in key order
-    while at least half of the document fits. Ties of the key fall by id, then by the row's hash; equal rows are
-    interchangeable. Null sources are a source; null sizes count as 0 and null or non-positive qualities as the least.
+    while at least half of the document fits. A row's key is drawn from its id and all its other columns but size and
+    quality, so rows that share an id or have none need a column that tells them apart, such as the text or its hash. Ties of the
+    key fall by id, then by the row's hash; rows equal in all of these share one key and are interchangeable. Null sources are a source; null sizes count as 0 and null or non-positive qualities as the least.
 
     Prefix sums run inside buckets of equal key width whose totals are summed first. A key's density is at most its
     weight, so with weights scaled to 1 at most no bucket of a source of m rows holds more than about

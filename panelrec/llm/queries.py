@@ -40,7 +40,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = mixing.sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "quality")
+    sized = mixing.sized(read(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "size", "quality", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 

@@ -115,3 +115,19 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     result = Counter((r.doc_id, r.n_words) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert result == Counter((r.doc_id, r.n_words) for r in packed) == Counter({k: n for k, n in sum(
         (Counter({(i, len(w)): n}) for (i, w), n in mix.items()), Counter()).items()})
+
+
+def test_mixing_stage_with_clashing_names_and_no_rows(spark, rows):
+    names = ("size", "quality", "target", "source_size", "copies", "taken", "__key", "__w", "__c", "row")
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], SCHEMA + "".join(f", {n} int" for n in names)).repartition(3)
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= {(*r, *range(len(names))) for r in rows}
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), "").count() == 0
+
+
+def test_draws_of_rows_without_id_do_not_depend_on_partitions(spark):
+    rows = [(None, f"text number {i}", "s", 10 + i % 7) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").selectExpr("*", "1.0 as quality")
+    from panelrec.llm import mixing
+    taken = [sorted(map(tuple, mixing.mixed(table.repartition(n)).select("text", "copies").collect())) for n in (2, 7)]
+    assert taken[0] == taken[1] and len({c for _, c in taken[0]}) > 1
