@@ -280,8 +280,8 @@ def unresolved_pairs(members: DataFrame, nodes: DataFrame, join: Join) -> DataFr
     """Pairs ``(u, v)`` of members ``(sig, node, c)`` of one signature and different components that may still link.
 
     Signatures of at most ``CROWD`` members give all their pairs. A pair that shares only crowded signatures
-    shares at least its margin of them, so both of its nodes have that many; such nodes are compared inside
-    crowded signatures, block by block, by size and sketch, and only pairs that pass are written.
+    shares at least its margin of them, so both of its nodes have that many; of such nodes those outside a crowded
+    signature's largest component are compared with all others, block by block, by size and sketch, and only pairs that pass are written.
     """
     load = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"))
     sized = staged(members.join(load, "sig"))
@@ -291,18 +291,26 @@ def unresolved_pairs(members: DataFrame, nodes: DataFrame, join: Join) -> DataFr
     many = sized.where(F.col("g") > CROWD).drop("g")
     deep = many.groupBy("node").agg(F.count(F.lit(1)).alias("h")).join(nodes, "node").where("h >= margin").drop("h", "margin")
     left = staged(many.join(deep.select("node"), "node"))
-    blocks = left.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    dealt = left.join(blocks.select("sig", "m"), "sig").withColumn("b", F.pmod("node", "m").cast("int")).withColumn(
-        "t", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("sig", "node", "c", F.least("b", "t").alias("i"), F.greatest("b", "t").alias("j"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        n, c, node = (frame[x].to_numpy() for x in ("n_shingles", "c", "node"))
-        close = 100 * np.minimum(n[:, None], n[None]) >= join.percent * np.maximum(n[:, None], n[None])
-        u, v = np.nonzero(close & (c[:, None] != c[None]) & (node[:, None] < node[None]))
-        keep = near_sketches(frame["sketch"].tolist(), u, v, (n[u] + n[v]) * (100 - join.percent) // (100 + join.percent))
-        return pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]]})
-
-    large = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").groupBy("sig", "i", "j").applyInPandas(compare, "u long, v long")
+    # members of a signature's largest component need no comparison with each other: only those outside it meet all
+    held = left.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
+    tops = held.groupBy("sig").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("g")).where("top.n < g").select(
+        "sig", F.col("top.c").alias("top"), F.ceil((F.col("g") - F.col("top.n")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("g") / BLOCK).cast("int").alias("inner"))
+    placed = left.join(tops, "sig").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("sig", "node", "c", "n_shingles", "sketch")
+    outside = placed.where("c != top").withColumn("i", F.pmod("node", "outer").cast("int")).select(*kept, "i", every("inner").alias("j"))
+    outside = outside.select(*[F.col(x).alias(x) for x in outside.columns])  # a table of its own beside the other one
+    inside = placed.withColumn("j", F.pmod("node", "inner").cast("int")).select(*kept, "j", every("outer").alias("i"))
+
+    def compare(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        (n, c, node), (m, d, mate) = ([f[x].to_numpy() for x in ("n_shingles", "c", "node")] for f in (one, other))
+        close = 100 * np.minimum(n[:, None], m[None]) >= join.percent * np.maximum(n[:, None], m[None])
+        u, v = np.nonzero(close & (c[:, None] != d[None]))
+        keep = near_sketches([*one["sketch"], *other["sketch"]], u, v + len(n), (n[u] + m[v]) * (100 - join.percent) // (100 + join.percent))
+        u, v = node[u[keep]], mate[v[keep]]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    large = outside.groupBy("sig", "i", "j").cogroup(inside.groupBy("sig", "i", "j")).applyInPandas(compare, "u long, v long")
     return small.unionByName(large).distinct()
 
 
