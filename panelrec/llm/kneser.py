@@ -555,7 +555,7 @@ def _sums(model: Model, keyed: DataFrame, k: int, this_round: int) -> list[DataF
     return found
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, shard_bytes: int = 5 << 20, flush_tokens: int = 400_000, rounds: int = 1,
+def scored(docs: DataFrame, held_out: Column, order: int = 2, shard_bytes: int = 5 << 20, flush_tokens: int = 400_000, rounds: int = 2,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; learnt from rows not held out; staged.
 
