@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from panelrec.functions import scalars as S
 from panelrec.functions.arrays import clipped
-from panelrec.operators.scale import running_totals
+from panelrec.operators.scale import join_lookup, running_totals
+from panelrec.session import staged
 
 POINTS = 1000
 
@@ -82,6 +83,10 @@ def quantile_places(df: DataFrame, column: str, points: Sequence[float], name: s
     return cut.transform(df.withColumn("_x", F.col(column).cast("double"))).withColumn(name, place).drop("_x", "_b")
 
 
+def _moved(u: Column, output: str) -> Column:
+    return 2.0 * u - 1.0 if output == "uniform" else F.when(u.isNotNull(), S.inverse_normal(clipped(u, 1e-7, 1 - 1e-7)))
+
+
 def apply_quantiles(df: DataFrame, maps: dict[str, Sequence[float]], output: str = "uniform") -> DataFrame:
     """Columns moved to their places on fitted maps: ``uniform`` on [-1, 1] or ``normal``; nulls stay, values beyond the
     fitted ones get the ends."""
@@ -89,17 +94,32 @@ def apply_quantiles(df: DataFrame, maps: dict[str, Sequence[float]], output: str
     for i, (c, points) in enumerate(maps.items()):
         out = quantile_places(out, c, points, f"_u{i}")
     at = {c: F.col(f"_u{i}") for i, c in enumerate(maps)}
+    return out.select(*[_moved(at[c], output).alias(c) if c in at else F.col(c) for c in df.columns])
 
-    def moved(u: Column) -> Column:
-        return 2.0 * u - 1.0 if output == "uniform" else S.inverse_normal(clipped(u, 1e-7, 1 - 1e-7))
 
-    return out.select(*[moved(at[c]).alias(c) if c in at else F.col(c) for c in df.columns])
+def quantile_positions(df: DataFrame, column: str) -> DataFrame:
+    """``(value, u)``: the middle of the ranks, in [0, 1], of every distinct value."""
+    values = staged(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    rows = values.agg(F.sum("n")).first()[0] or 0
+    if not rows:
+        return values.select("value", F.lit(None).cast("double").alias("u"))
+    middle = F.col("cum_n") - F.col("n") + (F.col("n") - 1) / 2.0
+    return running_totals(values, "value", ["n"]).select("value", (middle / F.lit(float(max(rows - 1, 1)))).alias("u"))
 
 
 def scale_quantile(df: DataFrame, columns: Sequence[str], output: str = "uniform", fit: DataFrame | None = None, points: int = POINTS) -> DataFrame:
-    """Quantile transform fitted on ``fit`` (or the table itself)."""
-    maps = {r["column"]: r["points"] for r in fit_quantiles(fit if fit is not None else df, columns, points).collect()}
-    return apply_quantiles(df, maps, output)
+    """Quantile transform by a map of ``points`` fitted on ``fit``, or by the table's own ranks, all of them and exactly.
+
+    Without ``fit`` no map is made (``points`` is not used): every distinct value gets the middle of its ranks, nulls stay.
+    """
+    if fit is not None:
+        return apply_quantiles(df, {r["column"]: r["points"] for r in fit_quantiles(fit, columns, points).collect()}, output)
+    out = df
+    for i, c in enumerate(columns):
+        places = quantile_positions(df, c).select(F.col("value").alias("_x"), F.col("u").alias(f"_u{i}"))
+        out = join_lookup(out.withColumn("_x", F.col(c).cast("double")), places, ["_x"]).drop("_x")
+    at = {c: F.col(f"_u{i}") for i, c in enumerate(columns)}
+    return out.select(*[_moved(at[c], output).alias(c) if c in at else F.col(c) for c in df.columns])
 
 
 # --------------------------------------------------------------- projections

@@ -1,5 +1,7 @@
 """Transforms fitted on one part and applied to another, against numpy."""
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,23 @@ def test_quantile_map_applies_to_new_rows(spark):
     assert all(r.x is None for r in none)
 
 
+@pytest.mark.parametrize("output", ["uniform", "normal"])
+def test_own_ranks_are_exact_beyond_any_map(spark, output):
+    """Every distinct value is ranked; a map of 1,000 points would place the values between its points elsewhere."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.exp(rng.normal(size=3000) * 4), np.repeat(7.5, 400), [-0.0, 0.0]])
+    rows = [(i, float(v)) for i, v in enumerate(x)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "i int, x double").repartition(5)
+    got = {r.i: r.x for r in Q.scale_quantile(df, ["x"], output).collect()}
+    assert len(got) == len(rows) and got[9999] is None
+    ordered = np.sort(x)
+    low, high = np.searchsorted(ordered, x), np.searchsorted(ordered, x, "right")
+    u = (low + (high - low - 1) / 2) / (len(x) - 1)
+    z = [NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in u] if output == "normal" else 2 * u - 1
+    np.testing.assert_allclose([got[i] for i in range(len(x))], z, atol=1e-8 if output == "normal" else 1e-12)
+    assert Q.scale_quantile(df.where("x is null"), ["x"], output).first().x is None
+
+
 def test_projection_fits_once_and_applies(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6)) + 3.0
