@@ -3,11 +3,14 @@
 Both sides are dealt into blocks by row number, whatever their keys, and every pair of a query block and a context block
 meets in one task as two matrices: query blocks are repeated for each context block and the other way round, in
 one shuffle. A task returns k rows per query, which an aggregation merges, so no pair of rows is ever a row of
-a table and neither side passes the driver.
+a table and neither side passes the driver. Blocks of small tables are smaller, so that all cores get pairs, and a task holds
+two blocks and the scores of one strip of queries, whatever the size of the tables.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,13 +20,18 @@ from panelrec.session import staged
 
 #: Rows of a block: two blocks of 64 doubles a row and their Arrow copies take about 50 MB of a task.
 BLOCK_ROWS = 20_000
-STRIP_ROWS = 256
+#: Rows of a block below which a small table is not cut further to busy all cores.
+LEAST_ROWS = 1_000
+#: Cells of a strip's score matrix: 8 MB of doubles, held twice.
+STRIP_CELLS = 1 << 20
 
 
 def _dealt(table: DataFrame, key: str, vector: str, block_rows: int) -> tuple[DataFrame, int]:
     """``(row, id, v, block)`` of the rows that have a vector, and the number of blocks; staged, so that row numbers stay."""
     rows = staged(table.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"))
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    busy = math.isqrt(2 * table.sparkSession.sparkContext.defaultParallelism) + 1  # squared, two pairs a core
+    blocks = max(1, -(-n // block_rows), min(busy, n // LEAST_ROWS))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     return numbered.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int")), blocks
 
@@ -32,37 +40,50 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.asarray(table["v"].combine_chunks().flatten()).reshape(table.num_rows, -1)
 
 
-def _nearest(queries: np.ndarray, matrix: np.ndarray, place: np.ndarray, k: int, metric: str, own: np.ndarray | None):
-    """Yield per query the positions and exact scores of its k best rows, ties by ``place``.
+def _nearest(queries: np.ndarray, matrix: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int, metric: str, apart: bool):
+    """Yield per query the positions and exact scores of its k best rows, ties by id; ``apart`` leaves out rows of its own id.
 
     The product ranks roughly, for ``l2`` around the block's mean, so that a common offset cancels before
     squaring; every row within rounding of the k-th, measured by the norms that went into the product, is scored again.
+    Only a strip of the product exists at a time.
     """
+    place = np.unique(ids, return_inverse=True)[1]
     if metric == "l2":
         middle = matrix.mean(0)
-        left, right = queries - middle, matrix - middle
-        a, b = (left**2).sum(1), (right**2).sum(1)
-        rough = a[:, None] + b[None, :] - 2.0 * (left @ right.T)
+        right = matrix - middle
+        b = np.einsum("ij,ij->i", right, right)
         # centring itself rounds by the size of the original coordinates
         shift = np.abs(middle).max() * np.sqrt(matrix.shape[1])
-        scale = a + b.max() + shift * (np.sqrt(a) + np.sqrt(b.max()))
     else:
-        rough = -(queries @ matrix.T)
-        scale = np.sqrt((queries**2).sum(1)) * np.sqrt((matrix**2).sum(1).max())
-    slack = 8.0 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * scale
-    if own is not None:
-        rough = np.where(own, np.inf, rough)
-    kth = min(k, rough.shape[1]) - 1
-    limit = np.partition(rough, kth, axis=1)[:, kth]
-    for i, query in enumerate(queries):
-        near = np.flatnonzero(rough[i] <= limit[i] + 2.0 * slack[i])
-        near = near[np.isfinite(rough[i][near])]
+        right, longest = matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix).max())
+    kth = min(k, len(matrix)) - 1
+    step = max(1, STRIP_CELLS // len(matrix))
+    for start in range(0, len(queries), step):
+        strip = queries[start:start + step]
         if metric == "l2":
-            score = ((matrix[near] - query) ** 2).sum(1)
+            left = strip - middle
+            rough = left @ right.T
+            rough *= -2.0
+            rough += b  # the query's own norm ranks nothing
+            a = np.einsum("ij,ij->i", left, left)
+            scale = a + b.max() + shift * (np.sqrt(a) + np.sqrt(b.max()))
         else:
-            score = -(matrix[near] * query).sum(1)
-        order = np.lexsort((place[near], score))[:k]
-        yield near[order], score[order]
+            rough = strip @ right.T
+            np.negative(rough, out=rough)
+            scale = np.sqrt(np.einsum("ij,ij->i", strip, strip)) * longest
+        slack = 8.0 * (matrix.shape[1] + 4) * np.finfo(np.float64).eps * scale
+        if apart:
+            rough[names[start:start + step][:, None] == ids[None, :]] = np.inf
+        limit = np.partition(rough, kth, axis=1)[:, kth] + 2.0 * slack
+        for query, row, most in zip(strip, rough, limit):
+            near = np.flatnonzero(row <= most)
+            near = near[np.isfinite(row[near])]
+            if metric == "l2":
+                score = ((matrix[near] - query) ** 2).sum(1)
+            else:
+                score = -(matrix[near] * query).sum(1)
+            order = np.lexsort((place[near], score))[:k]
+            yield near[order], score[order]
 
 
 def nearest(
@@ -94,16 +115,11 @@ def nearest(
     def product(q: pa.Table, c: pa.Table) -> pa.Table:
         rows, distance, taken = [], [], []
         if q.num_rows and c.num_rows:
-            ids = c["id"].to_numpy()
-            place = np.unique(ids, return_inverse=True)[1]
-            names, asking, matrix, number = q["id"].to_numpy(), _matrix(q), _matrix(c), q["row"].to_numpy()
-            for start in range(0, len(asking), STRIP_ROWS):
-                strip = slice(start, start + STRIP_ROWS)
-                own = names[strip][:, None] == ids[None, :] if exclude_self else None
-                for i, (near, score) in enumerate(_nearest(asking[strip], matrix, place, k, metric, own), start):
-                    rows.append(np.full(len(near), i))
-                    taken.append(near)
-                    distance.append(score)
+            found = _nearest(_matrix(q), _matrix(c), q["id"].to_numpy(), c["id"].to_numpy(), k, metric, exclude_self)
+            for i, (near, score) in enumerate(found):
+                rows.append(np.full(len(near), i))
+                taken.append(near)
+                distance.append(score)
         at = np.concatenate(rows) if rows else np.zeros(0, int)
         picked = np.concatenate(taken) if taken else np.zeros(0, int)
         return pa.table({
@@ -111,6 +127,10 @@ def nearest(
             "distance": pa.array(np.concatenate(distance) if distance else np.zeros(0)),
         })
 
+    # pairs are few and heavy: they are not merged by their bytes, and few share a partition
+    pairs = left_blocks * right_blocks
+    parts = max(pairs, min(4 * pairs, 256), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked, given = asked.repartition(parts, "a", "b"), given.repartition(parts, "a", "b")
     found = asked.groupBy("a", "b").cogroup(given.groupBy("a", "b")).applyInArrow(
         product, f"row long, q {kind}, context_id {kind}, distance double")
     # A query gets at most k rows per context block, so its group is bounded.

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -258,3 +259,24 @@ def test_nearest_with_equal_keys_and_blocks(spark):
     # blocks meet in a shuffle: no plan of ours sends one side to the driver or to all tasks
     plan = nearest(df, df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_nearest_holds_a_strip_and_busies_all_cores(spark, metric):
+    """A pair of full blocks needs little beside its matrices, and a table below one block still meets in several tasks."""
+    from panelrec.operators import knn
+
+    rng = np.random.default_rng(5)
+    rows, ids = rng.normal(size=(20_000, 8)) + 50.0, np.arange(20_000)
+    tracemalloc.start()
+    found = list(zip(range(700), knn._nearest(rows[:700], rows, ids[:700], ids, 3, metric, True)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 700 and peak < 40 << 20
+    for i, (near, score) in found[::50]:
+        exact = ((rows - rows[i]) ** 2).sum(1) if metric == "l2" else -(rows * rows[i]).sum(1)
+        exact[i] = np.inf
+        want = np.lexsort((ids, exact))[:3]
+        assert near.tolist() == want.tolist() and score == pytest.approx(exact[want])
+    t = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:4000], rows)], "row_id long, vector array<double>")
+    assert knn._dealt(t, "row_id", "vector", knn.BLOCK_ROWS)[1] >= 3
